@@ -34,8 +34,17 @@ def _metric(fn, days: int | None = None, anchored: bool = True, **kw) -> QueryFn
 
 def queries() -> dict[str, QueryFn]:
     from cadence.plans import pull_requests as pr
+    from cadence.plans import reviews as rv
+    from cadence.plans import workflows as wf
 
     q: dict[str, QueryFn] = {}
     for name, fn in pr.METRICS.items():
         q[name] = _metric(fn, PR_DAYS)
+    for name, fn in rv.METRICS.items():
+        q[name] = _metric(fn, REVIEW_DAYS)
+    q["wf_anchor"] = _metric(wf.wf_anchor)
+    for name, fn in wf.METRICS.items():
+        q[name] = _metric(fn, WORKFLOW_DAYS)
+    # composite operators exposed on their own
+    q["pivot_forward_fill"] = _metric(wf.wf_dx_runs_cumulative_wide, WORKFLOW_DAYS)
     return q

@@ -6,10 +6,10 @@ from oracle.views import with_views
 
 
 def all_sql() -> dict[str, str]:
-    from oracle import sql_pull_requests
+    from oracle import sql_pull_requests, sql_reviews, sql_workflows
 
     out: dict[str, str] = {}
-    for mod in (sql_pull_requests,):
+    for mod in (sql_pull_requests, sql_reviews, sql_workflows):
         for key, body in mod.SQL.items():
             out[key] = with_views(body)
     return out
