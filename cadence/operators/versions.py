@@ -101,9 +101,10 @@ def version_drift(uses: DataFrame, releases: DataFrame, markers, keep_all: bool
     with an ``is_dx`` flag (for per-repository zero counts).
     """
     latest = latest_per_module(releases)
-    u = uses.where(not_relative_path("module")).withColumn("__name", split_part("module", "/", 2))
+    counted = not_relative_path("module") & is_dx_module("module", markers)
+    u = uses.withColumn("__name", split_part("module", "/", 2))
     if not keep_all:
-        u = u.where(is_dx_module("module", markers))
+        u = u.where(counted)
     j = u.join(latest, u["__name"] == latest["module_name"], "left")
     out = j.select(
         "repository",
@@ -112,6 +113,6 @@ def version_drift(uses: DataFrame, releases: DataFrame, markers, keep_all: bool
         F.col("latest_version"),
         F.col("file_path"),
         drift_status(F.col("version"), F.col("latest_version"), F.col("major_version")).alias("drift_status"),
-        *([is_dx_module("module", markers).alias("is_dx")] if keep_all else []),
+        *([counted.alias("is_dx")] if keep_all else []),
     )
     return out

@@ -35,6 +35,7 @@ def _metric(fn, days: int | None = None, anchored: bool = True, **kw) -> QueryFn
 def queries() -> dict[str, QueryFn]:
     from cadence.plans import pull_requests as pr
     from cadence.plans import reviews as rv
+    from cadence.plans import adoption, iac, releases, team, tracker
     from cadence.plans import workflows as wf
 
     q: dict[str, QueryFn] = {}
@@ -45,6 +46,15 @@ def queries() -> dict[str, QueryFn]:
     q["wf_anchor"] = _metric(wf.wf_anchor)
     for name, fn in wf.METRICS.items():
         q[name] = _metric(fn, WORKFLOW_DAYS)
+    q["iac_anchor"] = _metric(iac.iac_anchor)
+    for name, fn in iac.METRICS.items():
+        q[name] = _metric(fn, IAC_DAYS)
+    for name, fn in adoption.METRICS.items():
+        q[name] = _metric(fn, anchored=False)
+    for name, fn in team.METRICS.items():
+        q[name] = _metric(fn, TEAM_DAYS)
+    for name, fn in {**team.STATIC, **tracker.METRICS, **releases.METRICS}.items():
+        q[name] = _metric(fn, anchored=False)
     # composite operators exposed on their own
     q["pivot_forward_fill"] = _metric(wf.wf_dx_runs_cumulative_wide, WORKFLOW_DAYS)
     return q
