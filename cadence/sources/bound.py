@@ -43,16 +43,20 @@ def bound_defaults(base: Defaults = DEFAULTS) -> Defaults:
 
 
 class Raw:
-    """Lazy readers of the driver tables under one folder."""
+    """Readers of the driver tables under one folder; each table is opened once
+    (its footer read once) however many views use it."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = spark
         self.sf_dir = sf_dir
+        self._cache: dict[str, DataFrame] = {}
 
     def __getattr__(self, name: str) -> DataFrame:
-        if name in DRIVER_TABLES:
-            return self.spark.read.parquet(os.path.join(self.sf_dir, f"{name}.parquet"))
-        raise AttributeError(name)
+        if name.startswith("_") or name not in DRIVER_TABLES:
+            raise AttributeError(name)
+        if name not in self._cache:
+            self._cache[name] = self.spark.read.parquet(os.path.join(self.sf_dir, f"{name}.parquet"))
+        return self._cache[name]
 
 
 def repositories(raw: Raw) -> DataFrame:
@@ -280,29 +284,99 @@ def terraform_registry_releases(raw: Raw) -> DataFrame:
     return release_summary(registry_versions(raw))
 
 
-def bind(spark: SparkSession, sf_dir: str) -> Tables:
-    """All stored tables as lazy views over the driver's tables at ``sf_dir``."""
-    raw = Raw(spark, sf_dir)
-    repos = repositories(raw)
-    facts = order_facts(raw)
-    prs = pull_requests_from_facts(facts)
-    return Tables(
-        repositories=repos,
-        pull_requests=prs,
-        pull_request_reviews=pull_request_reviews(raw),
-        workflows=workflows(raw),
-        workflow_runs=workflow_runs(raw),
-        iac_pr_lead_times=iac_pr_lead_times(prs, repos),
-        commits=commits(raw, repos),
-        code_search_results=code_search_results(raw),
-        dx_pipeline_usages=dx_pipeline_usages(raw),
-        terraform_modules=terraform_modules(raw),
-        terraform_registry_releases=terraform_registry_releases(raw),
-        tracker_requests=tracker_from_facts(facts),
-        dx_team_members=team_members(spark),
-    )
+class BoundTables(Tables):
+    """Tables whose views are built on first use (a metric touching two tables
+    does not plan the other eleven)."""
+
+    _builders = {
+        "repositories": lambda b: repositories(b.raw),
+        "pull_requests": lambda b: pull_requests_from_facts(b.facts),
+        "pull_request_reviews": lambda b: pull_request_reviews(b.raw),
+        "workflows": lambda b: workflows(b.raw),
+        "workflow_runs": lambda b: workflow_runs(b.raw),
+        "iac_pr_lead_times": lambda b: iac_pr_lead_times(b.need("pull_requests"), b.need("repositories")),
+        "commits": lambda b: commits(b.raw, b.need("repositories")),
+        "code_search_results": lambda b: code_search_results(b.raw),
+        "dx_pipeline_usages": lambda b: dx_pipeline_usages(b.raw),
+        "terraform_modules": lambda b: terraform_modules(b.raw),
+        "terraform_registry_releases": lambda b: terraform_registry_releases(b.raw),
+        "tracker_requests": lambda b: tracker_from_facts(b.facts),
+        "dx_team_members": lambda b: team_members(b.raw.spark),
+    }
+
+    def __init__(self, raw: Raw):
+        super().__init__()
+        self.raw = raw
+        self._facts: DataFrame | None = None
+
+    @property
+    def facts(self) -> DataFrame:
+        if self._facts is None:
+            self._facts = order_facts(self.raw)
+        return self._facts
+
+    def need(self, name: str) -> DataFrame:
+        df = getattr(self, name)
+        if df is None:
+            df = self._builders[name](self)
+            setattr(self, name, df)
+        return df
+
+    def names(self) -> list[str]:
+        return list(self._builders)
 
 
-def bound_as_of(tables: Tables):
-    """The binding's "now": one day after the latest merge, as a scalar subquery."""
-    return tables.need("pull_requests").agg(F.max("merged_at") + F.expr("INTERVAL '1' DAY")).scalar()
+_RAW_MEMO: dict[tuple, Raw] = {}
+
+
+def _dir_stamp(sf_dir: str) -> tuple:
+    try:
+        return tuple(sorted((e.name, e.stat().st_mtime_ns) for e in os.scandir(sf_dir)))
+    except OSError:
+        return ()
+
+
+def bind(spark: SparkSession, sf_dir: str) -> Tables:
+    """All stored tables as lazy views over the driver's tables at ``sf_dir``.
+
+    The parquet readers are shared by bindings of the same session and folder
+    (keyed on the files' stamps), so a dashboard of sixty metrics opens each
+    file once.
+    """
+    key = (id(spark), sf_dir, _dir_stamp(sf_dir))
+    raw = _RAW_MEMO.get(key)
+    if raw is None or raw.spark is not spark:
+        raw = _RAW_MEMO[key] = Raw(spark, sf_dir)
+    return BoundTables(raw)
+
+
+_AS_OF_MEMO: dict[tuple, object] = {}
+
+
+def bound_as_of(tables: Tables, lazy: bool = False):
+    """The binding's "now": one day after the latest merge.
+
+    By default it is computed once per data folder (a one-row aggregate) and
+    passed on as a literal parameter, so the sixty metrics do not each re-run
+    the order / line-item aggregation. ``lazy=True`` gives the scalar-subquery
+    form instead (no job until the metric runs).
+    """
+    prs = tables.need("pull_requests")
+    if lazy or not isinstance(tables, BoundTables):
+        return prs.agg(F.max("merged_at") + F.expr("INTERVAL '1' DAY")).scalar()
+    raw = tables.raw
+    stamp = tuple(
+        os.stat(os.path.join(raw.sf_dir, f"{n}.parquet")).st_mtime_ns
+        if os.path.exists(os.path.join(raw.sf_dir, f"{n}.parquet")) else 0
+        for n in ("orders", "lineitem", "customer")
+    )
+    key = (raw.sf_dir, stamp)
+    if key not in _AS_OF_MEMO:
+        latest = prs.agg(F.max("merged_at").alias("m")).first()["m"]
+        _AS_OF_MEMO[key] = latest
+    latest = _AS_OF_MEMO[key]
+    if latest is None:
+        return F.lit(None).cast("timestamp_ntz")
+    from cadence.functions.time import lit_ntz
+
+    return lit_ntz(latest) + F.expr("INTERVAL '1' DAY")
