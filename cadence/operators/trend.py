@@ -6,7 +6,7 @@ joined back to the points on the key: no cross join, no global window.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cadence.functions.numeric import clamp_min, round_half_up
@@ -43,10 +43,21 @@ def trend_line(points: DataFrame, keys, x: str, y: str, degenerate: str = "zero"
                floor=None, name: str = "trend_line") -> DataFrame:
     """Fitted value for every point, rounded; optionally clamped at ``floor``."""
     keys = [keys] if isinstance(keys, str) else list(keys)
-    stats = trend_stats(points, keys, x, y, degenerate)
     fitted = round_half_up(F.col("slope") * F.col(x).cast("double") + F.col("intercept"), digits)
     if floor is not None:
         fitted = clamp_min(fitted, float(floor))
+    if not keys:
+        # one series (e.g. days of one tracker): the points are an aggregate
+        # bounded by the calendar, so whole-set window statistics need no join
+        w = Window.partitionBy()
+        xs, ys = F.col(x).cast("double"), F.col(y).cast("double")
+        raw = F.regr_slope(ys, xs).over(w)
+        slope = F.coalesce(raw, F.lit(0.0)) if degenerate == "zero" else raw
+        with_stats = points.withColumn("slope", slope).withColumn(
+            "intercept", F.avg(ys).over(w) - F.col("slope") * F.avg(xs).over(w)
+        )
+        return with_stats.withColumn(name, fitted).drop("slope", "intercept")
+    stats = trend_stats(points, keys, x, y, degenerate)
     return points.join(stats, keys, "inner").withColumn(name, fitted).drop("slope", "intercept", "n")
 
 

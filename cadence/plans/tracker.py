@@ -36,23 +36,18 @@ def _daily(t: Tables) -> DataFrame:
     daily = _req(t).where(F.col("submitted_at").isNotNull()).groupBy(
         to_day("submitted_at").alias("request_date")
     ).agg(F.count(F.lit(1)).alias("actual_requests"))
-    return daily.withColumn("__one", F.lit(1)).withColumn(
-        "day_number", F.row_number().over(Window.partitionBy("__one").orderBy("request_date"))
-    )
+    return daily.withColumn("day_number", F.row_number().over(Window.orderBy("request_date")))
 
 
 def tracker_trend_pct(t: Tables, d: Defaults = DEFAULTS, **_) -> DataFrame:
     """Percent change along the fitted line between the first and last day that
     have requests; NULL when fewer than two days or the first value is 0 (T-04)."""
-    out = trend_change_pct(_daily(t), "__one", "day_number", "actual_requests", name="trend_pct")
-    one_row = _req(t).sparkSession.range(1).select(F.lit(1).alias("__one"))
-    return one_row.join(out, "__one", "left").select("trend_pct")
+    return trend_change_pct(_daily(t), [], "day_number", "actual_requests", name="trend_pct")
 
 
 def tracker_daily_trend(t: Tables, d: Defaults = DEFAULTS, **_) -> DataFrame:
     """Daily count with the fitted value; NULL trend for a single day (T-03)."""
-    out = trend_line(_daily(t), "__one", "day_number", "actual_requests", degenerate="null", digits=2,
-                     name="trend")
+    out = trend_line(_daily(t), [], "day_number", "actual_requests", degenerate="null", digits=2, name="trend")
     return out.select("request_date", "actual_requests", "trend")
 
 

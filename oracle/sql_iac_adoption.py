@@ -39,10 +39,13 @@ p as (
          {SECS('created_at', 'merged_at')} / 86400 as y,
          row_number() over (partition by repository order by cast(created_at as date), pr_number) as x
   from base where {_MERGED}),
+st as (select repository, avg(cast(x as double)) as xbar, avg(y) as ybar from p group by repository),
 s as (
-  select repository, coalesce(regr_slope(y, cast(x as double)), 0) as slope, avg(y) as ybar,
-         avg(cast(x as double)) as xbar
-  from p group by repository)
+  select p.repository, st.xbar, st.ybar,
+         case when sum((p.x - st.xbar) * (p.x - st.xbar)) != 0
+              then sum((p.x - st.xbar) * (p.y - st.ybar)) / sum((p.x - st.xbar) * (p.x - st.xbar))
+              else 0 end as slope
+  from p join st on p.repository = st.repository group by p.repository, st.xbar, st.ybar)
 select p.repository, p.pr_number, p.date,
        greatest({RND("s.slope * cast(p.x as double) + (s.ybar - s.slope * s.xbar)", 2)}, 0) as trend_line
 from p join s on p.repository = s.repository

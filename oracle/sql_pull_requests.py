@@ -54,8 +54,13 @@ with w as (
          {RND(f"avg({SECS('created_at', 'merged_at')}) / 86400", 2)} as y
   {PR_JOIN} where {_merged} group by 1, 2),
 x as (select *, row_number() over (partition by repository order by week) as x from w),
-s as (select repository, coalesce(regr_slope(y, cast(x as double)), 0) as slope,
-             avg(y) as ybar, avg(cast(x as double)) as xbar from x group by repository)
+st as (select repository, avg(cast(x as double)) as xbar, avg(y) as ybar from x group by repository),
+s as (
+  select x.repository, st.xbar, st.ybar,
+         case when sum((x.x - st.xbar) * (x.x - st.xbar)) != 0
+              then sum((x.x - st.xbar) * (x.y - st.ybar)) / sum((x.x - st.xbar) * (x.x - st.xbar))
+              else 0 end as slope
+  from x join st on x.repository = st.repository group by x.repository, st.xbar, st.ybar)
 select x.repository, x.week as date,
        {RND("s.slope * cast(x.x as double) + (s.ybar - s.slope * s.xbar)", 2)} as trend_line
 from x join s on x.repository = s.repository
