@@ -35,7 +35,7 @@ def _metric(fn, days: int | None = None, anchored: bool = True, **kw) -> QueryFn
 def queries() -> dict[str, QueryFn]:
     from cadence.plans import pull_requests as pr
     from cadence.plans import reviews as rv
-    from cadence.plans import adoption, iac, releases, team, tracker
+    from cadence.plans import adoption, iac, ingest_bound, releases, team, tracker
     from cadence.plans import workflows as wf
 
     q: dict[str, QueryFn] = {}
@@ -57,4 +57,7 @@ def queries() -> dict[str, QueryFn]:
         q[name] = _metric(fn, anchored=False)
     # composite operators exposed on their own
     q["pivot_forward_fill"] = _metric(wf.wf_dx_runs_cumulative_wide, WORKFLOW_DAYS)
+    # ingest jobs and write rules
+    for name, fn in ingest_bound.JOBS.items():
+        q[name] = _metric(fn, anchored=False)
     return q
