@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from cadence.sources.bound import bind, bound_as_of, bound_defaults
 from oracle.snippets import CALENDAR_DAYS, IAC_DAYS, PR_DAYS, REVIEW_DAYS, TEAM_DAYS, WORKFLOW_DAYS
@@ -32,6 +33,16 @@ def _metric(fn, days: int | None = None, anchored: bool = True, **kw) -> QueryFn
     return run
 
 
+def _events_running_total(t, d=None, **_):
+    """Running daily total of events per event type (A-16, W-04) on ``events``."""
+    from cadence.operators.calendar import daily_running_total
+
+    ev = t.raw.events
+    return daily_running_total(ev, "event_type", "ts").select(
+        "event_type", "run_date", F.col("cumulative_count").cast("bigint").alias("cumulative_count")
+    )
+
+
 def queries() -> dict[str, QueryFn]:
     from cadence.plans import pull_requests as pr
     from cadence.plans import reviews as rv
@@ -57,6 +68,8 @@ def queries() -> dict[str, QueryFn]:
         q[name] = _metric(fn, anchored=False)
     # composite operators exposed on their own
     q["pivot_forward_fill"] = _metric(wf.wf_dx_runs_cumulative_wide, WORKFLOW_DAYS)
+    q["zero_filled_counts"] = _metric(pr.pr_new_per_day, CALENDAR_DAYS)
+    q["running_total"] = _metric(_events_running_total, anchored=False)
     # ingest jobs and write rules
     for name, fn in ingest_bound.JOBS.items():
         q[name] = _metric(fn, anchored=False)

@@ -1,6 +1,6 @@
 """Oracle SQL (DuckDB) for the pull-request metrics, all repositories at once."""
 
-from oracle.snippets import A, BOTS, DAY, NOTDRAFT, RND, SECS, WEEK, PR_DAYS, PR_JOIN
+from oracle.snippets import A, BOTS, CALENDAR_DAYS, NOTDRAFT, RND, SECS, WEEK, PR_DAYS, PR_JOIN
 
 D = PR_DAYS
 
@@ -162,3 +162,26 @@ select repository, title, lead_time_days, number, created_at, merged_at from (
   {PR_JOIN} where {_merged}) t
 where rn <= 50
 """
+
+# day grain (days < 240): the composite zero_filled_counts key
+SQL["zero_filled_counts"] = f"""
+with cal as (
+  select r.full_name as repository,
+         cast(unnest(generate_series(cast(cast({A} - to_days({CALENDAR_DAYS}) as date) as timestamp),
+                                     cast(cast({A} as date) as timestamp), interval 1 day)) as date) as date
+  from repositories r),
+cnt as (
+  select r.full_name as repository, cast(created_at as date) as d, count(*) as n
+  {PR_JOIN}
+  where created_at >= {A} - to_days({CALENDAR_DAYS}) and created_at <= {A} and {NOTDRAFT}
+  group by 1, 2)
+select cal.repository, cal.date, cast(coalesce(cnt.n, 0) as bigint) as pr_count
+from cal left join cnt on cal.repository = cnt.repository and cal.date = cnt.d
+"""
+
+SQL["running_total"] = """
+select event_type, run_date,
+       cast(sum(n) over (partition by event_type order by run_date
+                         rows between unbounded preceding and current row) as bigint) as cumulative_count
+from (select event_type, cast(ts as date) as run_date, count(*) as n from events group by 1, 2) x
+"""
