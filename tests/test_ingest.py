@@ -95,3 +95,32 @@ def test_read_tracker_csv(spark):
     assert len(rows) == 2
     assert rows[0]["submitted_at"] == D(2024, 1, 3, 9, 5) and rows[0]["category"] == "bug"
     assert rows[1]["submitted_at"] is None and rows[1]["raw_submitted_at"] == "" and rows[1]["priority"] == ""
+
+
+def test_module_scan_lenient_typing(spark):
+    from cadence.sources.landed import parse_module_scan
+
+    doc = ('{"modules": [{"source": "pagopa-dx/x/azurerm", "version": 3, "filePath": "main.tf", "lineNumber": 7},'
+           ' "junk", {"source": 5, "lineNumber": "x"}]}')
+    df = spark.createDataFrame([("org/a", doc), ("org/b", "not json")], "repo string, body string")
+    rows = parse_module_scan(df, "body", "repo").orderBy("lineNumber").collect()
+    assert len(rows) == 2
+    assert (rows[0]["source"], rows[0]["lineNumber"]) == ("", 0.0)
+    assert (rows[1]["source"], rows[1]["version"], rows[1]["filePath"], rows[1]["lineNumber"]) == \
+        ("pagopa-dx/x/azurerm", "", "main.tf", 7.0)
+
+
+def test_registry_parsers(spark):
+    from cadence.sources.landed import parse_published_at, parse_registry_modules, parse_registry_versions
+
+    page = spark.createDataFrame(
+        [('{"modules": [{"name": "m", "provider": "aws", "namespace": "n"}, {"name": 1, "provider": "x", '
+          '"namespace": "n"}]}',)], "body string")
+    assert [tuple(r) for r in parse_registry_modules(page, "body").collect()] == [("m", "aws", "n")]
+    vers = spark.createDataFrame([("m", '{"modules": [{"versions": [{"version": "1.0.0"}, {"version": 2}]}]}')],
+                                 "name string, body string")
+    assert [r["version"] for r in parse_registry_versions(vers, "body", ["name"]).collect()] == ["1.0.0"]
+    pub = spark.createDataFrame([('{"published_at": "2024-01-02T03:04:05Z"}',), ('{"published_at": "nope"}',)],
+                                "body string")
+    got = [r[0] for r in pub.select(parse_published_at("body")).collect()]
+    assert got[0] is not None and got[1] is None
