@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from cadence.llm import exact_dedup, sharding
+from cadence.llm import exact_dedup, packing, sharding
 
 
 def queries():
     return {
         "op6_block_naming_dedup": exact_dedup.op6_block_naming_dedup,
+        "op10_mixture_packing": packing.op10_mixture_packing,
         "op8_jump_hash_sharding": sharding.op8_jump_hash_sharding,
     }
 
