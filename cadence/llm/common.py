@@ -66,6 +66,5 @@ def hot_values(rows: DataFrame, cols: list[str]) -> DataFrame:
     spark = rows.sparkSession
     counts = rows.groupBy(*cols).agg(F.count(F.lit(1)).alias("n_rows"))
     total = rows.agg(F.count(F.lit(1)).alias("total"))
-    hot = (counts.join(F.broadcast(total), F.expr(f"n_rows > greatest({MIN_HOT}, total div {MAX_HOT})"))
-           .select(*cols, "n_rows"))
+    hot = counts.where(F.col("n_rows") > F.greatest(F.lit(MIN_HOT), total.scalar() / F.lit(MAX_HOT)))
     return spark.createDataFrame(hot.collect(), hot.schema)

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from cadence.llm import exact_dedup, packing, sharding
+from cadence.llm import exact_dedup, packing, quality_rules, sharding
 
 
 def queries():
     return {
+        "op1_adaptive_quality_rules": quality_rules.op1_adaptive_quality_rules,
         "op6_block_naming_dedup": exact_dedup.op6_block_naming_dedup,
         "op10_mixture_packing": packing.op10_mixture_packing,
         "op8_jump_hash_sharding": sharding.op8_jump_hash_sharding,
