@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from cadence.llm import exact_dedup, language_id, packing, quality_classifier, quality_rules, sharding
+from cadence.llm import byte_bpe, exact_dedup, language_id, packing, quality_classifier, quality_rules, sharding
 
 
 def queries():
     return {
         "op1_adaptive_quality_rules": quality_rules.op1_adaptive_quality_rules,
         "op4_bayes_quality_classifier": quality_classifier.op4_bayes_quality_classifier,
+        "op5_byte_bpe": byte_bpe.op5_byte_bpe,
         "op6_block_naming_dedup": exact_dedup.op6_block_naming_dedup,
         "op10_mixture_packing": packing.op10_mixture_packing,
         "op7_word_backoff_langid": language_id.op7_word_backoff_langid,
