@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cadence.llm import byte_bpe, exact_dedup, language_id, packing, quality_classifier, quality_rules, sharding
+from cadence.llm import byte_bpe, exact_dedup, jaccard_join, language_id, packing, quality_classifier, quality_rules, sharding
 
 
 def queries():
@@ -11,6 +11,7 @@ def queries():
         "op4_bayes_quality_classifier": quality_classifier.op4_bayes_quality_classifier,
         "op5_byte_bpe": byte_bpe.op5_byte_bpe,
         "op6_block_naming_dedup": exact_dedup.op6_block_naming_dedup,
+        "op9_prefix_tree_jaccard": jaccard_join.op9_prefix_tree_jaccard,
         "op10_mixture_packing": packing.op10_mixture_packing,
         "op7_word_backoff_langid": language_id.op7_word_backoff_langid,
         "op8_jump_hash_sharding": sharding.op8_jump_hash_sharding,
@@ -20,4 +21,5 @@ def queries():
 def oracle_sql():
     return {
         "op6_block_naming_dedup": exact_dedup.ORACLE_SQL,
+        "op9_prefix_tree_jaccard": jaccard_join.ORACLE_SQL,
     }
