@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from cadence.llm import byte_bpe, exact_dedup, jaccard_join, language_id, packing, quality_classifier, quality_rules, sharding
+from cadence.llm import (byte_bpe, exact_dedup, jaccard_join, language_id, packing, passages, quality_classifier, quality_rules,
+                         sharding, suffix_dedup)
 
 
 def queries():
     return {
         "op1_adaptive_quality_rules": quality_rules.op1_adaptive_quality_rules,
+        "op2_bucket_pointer_dedup": suffix_dedup.op2_bucket_pointer_dedup,
+        "op3_compact_windows": passages.op3_compact_windows,
         "op4_bayes_quality_classifier": quality_classifier.op4_bayes_quality_classifier,
         "op5_byte_bpe": byte_bpe.op5_byte_bpe,
         "op6_block_naming_dedup": exact_dedup.op6_block_naming_dedup,
