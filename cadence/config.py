@@ -1,25 +1,24 @@
 """Constants that carry meaning for the metrics, as overridable defaults.
 
 Every operator takes these as arguments; nothing below is hard-coded inside an
-operator. ``Defaults`` is frozen so one instance can be shared safely.
+operator. ``Defaults`` is frozen so one instance can be shared safely. Who the
+bots and the team are, the organisation and the markers of its shared pipelines
+and modules belong to the caller; the values here are neutral stand-ins.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass, replace
 
+# --- stand-ins, to be given by the caller ---
+BOT_AUTHORS: tuple[str, ...] = ("dependabot",)
+TEAM_MEMBERS: tuple[str, ...] = ()
+DX_PIPELINE_MARKER = "acme/dx"
+DX_MODULE_MARKERS = ("acme-dx", "acme/dx")
+CODE_SEARCH_QUERY = "acme/dx org:acme"
+ORGANIZATION = "acme"
+DX_REPO = "dx"
 # --- fixed values (must equal the original dashboards for equal results) ---
-BOT_AUTHORS = ("renovate-pagopa", "dependabot", "dx-pagopa-bot")
-TEAM_MEMBERS = (
-    "gunzip",
-    "lucacavallaro",
-    "Krusty93",
-    "kin0992",
-    "christian-calabrese",
-    "mamu0",
-)
-DX_PIPELINE_MARKER = "pagopa/dx"
-DX_MODULE_MARKERS = ("pagopa-dx", "pagopa/dx")
 EXCLUDED_WORKFLOWS = ("CodeQL", "Labeler")
 LABELER_WORKFLOW = "Labeler"
 DEPLOY_WORDS = ("deploy", "delivery", "release", "apply")
@@ -38,12 +37,9 @@ SUPERVISED_LABEL = "Supervised PRs"
 UNSUPERVISED_LABEL = "Unsupervised PRs"
 OWN_REPO_PATTERN = "(dx|eng)"
 EXCLUDED_REPO_SUBSTRING = "technology-radar"
-CODE_SEARCH_QUERY = "pagopa/dx org:pagopa"
 ADOPTION_EXCLUDED_SUBSTRING = "dx"
 INFRA_PLAN_FILE = "infra_plan.yaml"
 INFRA_APPLY_FILE = "infra_apply.yaml"
-ORGANIZATION = "pagopa"
-DX_REPO = "dx"
 # --- end of fixed values ---
 
 
@@ -69,6 +65,10 @@ class Defaults:
     adoption_excluded_substring: str = ADOPTION_EXCLUDED_SUBSTRING
     organization: str = ORGANIZATION
     dx_repo: str = DX_REPO
+    infra_plan_file: str = INFRA_PLAN_FILE
+    infra_apply_file: str = INFRA_APPLY_FILE
+    dx_pipeline_label: str = DX_PIPELINE_LABEL
+    non_dx_pipeline_label: str = NON_DX_PIPELINE_LABEL
 
     def with_(self, **kw) -> "Defaults":
         return replace(self, **kw)

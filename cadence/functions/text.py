@@ -31,14 +31,17 @@ def pg_initcap(c) -> Column:
     """PostgreSQL INITCAP: upper-case the first letter of every run of letters or
     digits, lower-case the rest; every non-alphanumeric character separates (P-14).
 
-    Spark's ``initcap`` only splits on blanks, so split the text into
-    alphanumeric and other runs and capitalise each alphanumeric run.
+    Spark's ``initcap`` only splits on blanks, so split the text into runs of
+    letters and digits of any script and other runs, and capitalise the former.
+    A letter without a one-letter capital (``ß``) stays.
     """
-    runs = F.regexp_extract_all(F.lower(as_col(c)), F.lit("([a-z0-9]+|[^a-z0-9]+)"), 1)
-    return F.array_join(
-        F.transform(runs, lambda r: F.concat(F.upper(F.substring(r, 1, 1)), F.substring(r, 2, 1 << 30))),
-        "",
-    )
+    runs = F.regexp_extract_all(F.lower(as_col(c)), F.lit(r"([\p{L}\p{N}]+|[^\p{L}\p{N}]+)"), 1)
+
+    def capital(run: Column) -> Column:
+        upper = F.upper(F.substring(run, 1, 1))
+        return F.when(run.rlike(r"^[\p{L}\p{N}]") & (F.length(upper) == 1), F.concat(upper, F.substring(run, 2, 1 << 30))).otherwise(run)
+
+    return F.array_join(F.transform(runs, capital), "")
 
 
 def first_int(c) -> Column:

@@ -35,8 +35,11 @@ def run_state(log: DataFrame) -> DataFrame:
 
 
 def start_runs(requested: DataFrame, at, run_id: Column | None = None) -> DataFrame:
-    """Event rows opening a run for each requested item (X-03)."""
-    rid = run_id if run_id is not None else F.concat_ws("|", F.col("entity_type"), F.col("since_date").cast("string"))
+    """Event rows opening a run for each requested item (X-03). A run is one
+    attempt: the time it starts is part of its id, so a later attempt that fails
+    does not undo an earlier one that was done."""
+    rid = run_id if run_id is not None else F.concat_ws(
+        "|", F.col("entity_type"), F.col("since_date").cast("string"), F.lit(at).cast("timestamp_ntz").cast("string"))
     return requested.select(
         rid.alias("run_id"), "entity_type", F.col("repository_id").cast("int"), "since_date",
         F.lit(RUNNING).alias("status"), F.lit(at).cast("timestamp_ntz").alias("at"),

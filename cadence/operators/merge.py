@@ -93,11 +93,14 @@ def replace_by_key(target: DataFrame, batch: DataFrame, part_keys) -> DataFrame:
     return kept.unionByName(batch.select(*target.columns))
 
 
-def update_found(target: DataFrame, details: DataFrame, keys, cols) -> DataFrame:
-    """Overwrite ``cols`` of stored rows that have a detail row (K-07); the
-    details hold one row per key."""
+def update_found(target: DataFrame, details: DataFrame, keys, cols, order=None) -> DataFrame:
+    """Overwrite ``cols`` of stored rows that have a detail row (K-07). Of
+    several details of a key the last by ``order`` counts (without an order the
+    greatest by value), so a stored row never fans out."""
     keys = [keys] if isinstance(keys, str) else list(keys)
-    d = details.select(*keys, *[F.col(c).alias(f"__d_{c}") for c in cols]).withColumn("__hit", F.lit(True))
+    values = F.struct(*[F.col(c) for c in cols])
+    last = details.groupBy(*keys).agg((F.max(values) if order is None else F.max_by(values, _order(order))).alias("__d"))
+    d = last.select(*keys, *[F.col(f"__d.{c}").alias(f"__d_{c}") for c in cols]).withColumn("__hit", F.lit(True))
     j = target.join(d, keys, "left")
     return j.select(*[
         F.when(F.col("__hit").isNotNull(), F.col(f"__d_{c}")).otherwise(F.col(c)).alias(c) if c in cols else F.col(c)

@@ -13,7 +13,7 @@ from cadence.config import DEFAULTS, SUPERVISED_LABEL, UNSUPERVISED_LABEL, Defau
 from cadence.functions import elapsed_seconds, not_draft, round_half_up, to_day, to_week
 from cadence.operators.calendar import daily_running_total
 from cadence.operators.ordinal import row_ordinal, row_ordinal_window
-from cadence.operators.period import resolve_as_of, trailing_period, with_anchor
+from cadence.operators.period import latest_anchor, resolve_as_of, trailing_period, with_anchor
 from cadence.operators.trend import trend_line
 from cadence.plans.common import REPO, all_repos
 from cadence.sources.tables import Tables
@@ -35,8 +35,9 @@ def iac_anchor(t: Tables, as_of=None, d: Defaults = DEFAULTS, **_) -> DataFrame:
 
 
 def _anchored(t: Tables, as_of, d: Defaults) -> DataFrame:
+    """Rows with the anchor of their repository; a repository with rows needs no list of all repositories."""
     rows = _iac(t).where(F.col("title") != d.excluded_title)
-    return with_anchor(rows, iac_anchor(t, as_of), REPO, "max_date")
+    return with_anchor(rows, latest_anchor(_iac(t), REPO, ["created_at", "merged_at"], as_of, "max_date"), REPO, "max_date")
 
 
 def _merged(t: Tables, days: int, as_of, d: Defaults) -> DataFrame:

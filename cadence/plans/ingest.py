@@ -7,12 +7,12 @@ folder, or a partition overwrite). Every job handles all repositories at once.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cadence.config import DEFAULTS, Defaults
 from cadence.functions import elapsed_seconds, not_in, round_half_up
-from cadence.operators.merge import insert_ignore, replace_by_key, update_found, upsert
+from cadence.operators.merge import ensure_rows, insert_ignore, replace_by_key, update_found, upsert
 from cadence.sources.landed import decode_base64
 
 PR_UPDATABLE = ["title", "closed_at", "merged_at", "draft"]
@@ -35,17 +35,19 @@ def import_pull_requests(target: DataFrame, landed: DataFrame, since, order="arr
     return upsert(target, b, ["repository_id", "number"], order, PR_UPDATABLE)
 
 
-def backfill_pr_details(target: DataFrame, details: DataFrame, since) -> DataFrame:
+def backfill_pr_details(target: DataFrame, details: DataFrame, since, order=None) -> DataFrame:
     """I-02: rows created since ``since`` with no additions or no comments get
-    additions, merger and comments + review comments (NULL as 0)."""
+    additions, merger and comments + review comments (NULL as 0); of details
+    landed twice the last by ``order`` counts."""
     need = target.where(
         (F.col("additions").isNull() | F.col("total_comments_count").isNull()) & (F.col("created_at") >= F.lit(since))
     ).select("repository_id", "number")
     d = details.join(need, ["repository_id", "number"], "left_semi").select(
         "repository_id", "number", "additions", "merged_by",
         (F.coalesce("comments", F.lit(0)) + F.coalesce("review_comments", F.lit(0))).alias("total_comments_count"),
+        *([] if order is None else [order]),
     )
-    return update_found(target, d, ["repository_id", "number"], ["additions", "merged_by", "total_comments_count"])
+    return update_found(target, d, ["repository_id", "number"], ["additions", "merged_by", "total_comments_count"], order)
 
 
 def import_reviews(target: DataFrame, landed: DataFrame, prs: DataFrame, since, d: Defaults = DEFAULTS,
@@ -89,60 +91,80 @@ def iac_lead_times(commits: DataFrame, links: DataFrame, team, home_repo: str |
 
     ``commits``: (repository_id, repository_full_name, sha, author);
     ``links``: (repository_id, sha, number, title, user_login, created_at,
-    merged_at). Merged PRs only; lead time in days to 2 places; reviewers =
-    distinct lower-cased team commit authors other than the PR author, minus
-    'web-flow', sorted. The join is on (repository, sha); the per-PR
-    reduction is a partial aggregate (``collect_set`` / ``min_by``), so a PR
-    with a huge history leaves each map task as one row.
+    merged_at). A commit takes its PR number from the links; then see
+    :func:`iac_from_numbered`.
     """
-    team_lc = [m.lower() for m in team]
-    c = commits if home_repo is None else commits.where(
-        F.split_part(F.col("repository_full_name"), F.lit("/"), F.lit(2)) != home_repo
-    )
-    per_author = c.select("repository_id", "repository_full_name", "sha", F.lower("author").alias("ca"))
-    linked = per_author.join(links, ["repository_id", "sha"], "inner")
-    is_rev = (
-        F.col("ca").isin(team_lc)
-        & F.coalesce(F.col("ca") != F.lower(F.col("user_login")), F.lit(True))
-        & (F.col("ca") != "web-flow")
-    )
-    return (
-        linked.groupBy("repository_id", "number")
-        .agg(
-            F.first("repository_full_name").alias("repository_full_name"),
-            F.min_by(F.struct("title", "user_login", "created_at", "merged_at"),
-                     F.col("merged_at").isNull()).alias("__pr"),
-            F.array_sort(F.collect_set(F.when(is_rev, F.col("ca")))).alias("target_authors"),
-        )
-        .where(F.col("__pr.merged_at").isNotNull())
-        .select(
-            "repository_id",
-            "repository_full_name",
-            F.col("number").alias("pr_number"),
-            F.col("__pr.title").alias("title"),
-            F.coalesce(F.col("__pr.user_login"), F.lit("unknown")).alias("author"),
-            F.col("__pr.created_at").alias("created_at"),
-            F.col("__pr.merged_at").alias("merged_at"),
-            round_half_up(elapsed_seconds("__pr.created_at", "__pr.merged_at") / 86400.0, 2).alias("lead_time_days"),
-            "target_authors",
-        )
+    numbered = commits.join(links.select("repository_id", "sha", "number"), ["repository_id", "sha"], "inner")
+    first = F.min_by(F.struct("title", "user_login", "created_at", "merged_at"), F.struct(F.col("merged_at").isNull(), F.col("sha")))
+    prs = links.groupBy("repository_id", "number").agg(first.alias("p")).select("repository_id", "number", "p.*")
+    return iac_from_numbered(numbered, prs, team, home_repo)
+
+
+def iac_from_numbered(commits: DataFrame, prs: DataFrame, team, home_repo: str | None = None) -> DataFrame:
+    """Merged PRs with infrastructure commits: lead time in days to 2 places and
+    their reviewers, the distinct lower-cased team authors of the commits other
+    than the PR author and 'web-flow', sorted.
+
+    ``commits``: (repository_id, repository_full_name, number, author). They are
+    reduced to one row per PR before anything is joined. The set of team authors
+    is a bit mask, so the reduction is a plain hash aggregate with map-side
+    combine however long the history of a PR.
+    """
+    names = sorted({m.lower() for m in team} - {"web-flow"})
+    masks = [names[i:i + 62] for i in range(0, len(names), 62)]
+    if home_repo is not None:
+        commits = commits.where(F.split_part("repository_full_name", F.lit("/"), F.lit(2)) != home_repo)
+    ca = F.lower("author")
+
+    def mask(part: list[str]) -> Column:
+        bit = F.lit(0).cast("long")
+        for i, m in enumerate(part):
+            bit = F.when(ca == m, F.lit(1 << i).cast("long")).otherwise(bit)
+        return F.bit_or(bit)
+
+    per_pr = commits.groupBy("repository_id", "repository_full_name", "number").agg(
+        F.count(F.lit(1)).alias("__commits"), *[mask(part).alias(f"__m{k}") for k, part in enumerate(masks)])
+    authors = [F.when(F.getbit(f"__m{k}", F.lit(i)) == 1, F.lit(m)) for k, part in enumerate(masks) for i, m in enumerate(part)]
+    found = F.array_compact(F.array(*authors)) if authors else F.array().cast("array<string>")
+    own = F.lower("user_login")
+    return per_pr.join(prs.where(F.col("merged_at").isNotNull()), ["repository_id", "number"], "inner").select(
+        "repository_id",
+        "repository_full_name",
+        F.col("number").alias("pr_number"),
+        "title",
+        F.coalesce(F.col("user_login"), F.lit("unknown")).alias("author"),
+        "created_at",
+        "merged_at",
+        round_half_up(elapsed_seconds("created_at", "merged_at") / 86400.0, 2).alias("lead_time_days"),
+        F.when(own.isNull(), found).otherwise(F.array_remove(found, own)).alias("target_authors"),
     )
 
 
-def import_member_commits(target: DataFrame, landed: DataFrame, repo_ids: DataFrame, order="arrival") -> DataFrame:
-    """I-07: member commits; repository from the full name, message cut to 500
-    characters; insert-ignore on sha (first wins)."""
-    b = landed.select(
-        "sha",
-        F.col("repository_full_name"),
-        F.col("author"),
-        F.col("committer"),
-        F.col("committer_date"),
-        F.substring(F.col("message"), 1, 500).alias("message"),
-        order,
-    ).join(repo_ids.select(F.col("full_name").alias("repository_full_name"), F.col("id").alias("repository_id")),
-           "repository_full_name", "inner")
-    return insert_ignore(target, b, ["sha"], order)
+def new_repositories(repositories: DataFrame, full_names: DataFrame) -> DataFrame:
+    """Rows for the full names (column ``full_name``) that are not stored yet (K-08): organisation and
+    name from the two parts, ids counting on from the greatest stored one in the order of the names.
+    The count runs over new repositories only, a handful in a run."""
+    fresh = ensure_rows(repositories.select("full_name").limit(0), full_names, "full_name").join(
+        repositories.select("full_name"), "full_name", "left_anti").where("full_name is not null")
+    last = F.coalesce(repositories.agg(F.max("id")).scalar(), F.lit(-1))
+    return fresh.select(
+        (last + F.row_number().over(Window.orderBy("full_name"))).cast(repositories.schema["id"].dataType).alias("id"),
+        F.split_part("full_name", F.lit("/"), F.lit(2)).alias("name"), "full_name",
+        F.split_part("full_name", F.lit("/"), F.lit(1)).alias("organization"))
+
+
+def import_member_commits(target: DataFrame, landed: DataFrame, repositories: DataFrame, order="arrival",
+                          message_chars: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """I-07: member commits; the repository comes from the full name and is created when it is not stored yet;
+    insert-ignore on sha (first wins). ``message_chars`` cuts messages (the original stores 500 characters).
+    Returns the commits and the repositories."""
+    repos = repositories.unionByName(
+        new_repositories(repositories, landed.select(F.col("repository_full_name").alias("full_name"))).select(*repositories.columns))
+    message = F.col("message") if message_chars is None else F.substring("message", 1, message_chars)
+    b = landed.withColumn("message", message) if "message" in landed.columns else landed
+    known = repos.select(F.col("full_name").alias("repository_full_name"), F.col("id").alias("repository_id"))
+    b = b.drop("repository_id").join(known, "repository_full_name", "inner")
+    return insert_ignore(target, b, ["sha"], order), repos
 
 
 def import_code_search(target: DataFrame, landed: DataFrame, query: str, order="arrival") -> DataFrame:

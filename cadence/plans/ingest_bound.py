@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from cadence.config import DEFAULTS, Defaults
 from cadence.functions import lit_ntz
 from cadence.operators.merge import insert_ignore, replace_by_key, upsert
-from cadence.plans.ingest import PR_UPDATABLE, iac_lead_times
+from cadence.plans.ingest import PR_UPDATABLE
 from cadence.sources.tables import Tables
 
 # --- fixed values: snapshot boundaries of the merge scenarios ---
@@ -22,15 +22,8 @@ BATCH_START = "1998-06-01"
 
 
 def iac_lead_times_job(t: Tables, d: Defaults = DEFAULTS, **_) -> DataFrame:
-    """I-06 over commits and the PRs their sha points to (commit ``o-l`` → PR ``o``)."""
-    c = t.need("commits")
-    p = t.need("pull_requests")
-    links = c.select("repository_id", "sha", F.split_part("sha", F.lit("-"), F.lit(1)).cast("bigint").alias("number"))
-    links = links.join(
-        p.select("repository_id", "number", "title", F.col("author").alias("user_login"), "created_at", "merged_at"),
-        ["repository_id", "number"], "inner",
-    ).distinct()
-    return iac_lead_times(c, links, d.team, home_repo=d.dx_repo)
+    """I-06 over all commits and the PRs that they point to."""
+    return t.need("iac_pr_lead_times")
 
 
 def commits_insert_ignore(t: Tables, d: Defaults = DEFAULTS, **_) -> DataFrame:
@@ -66,10 +59,10 @@ def pr_upsert(t: Tables, d: Defaults = DEFAULTS, **_) -> DataFrame:
 
 
 def modules_replace_by_key(t: Tables, d: Defaults = DEFAULTS, **_) -> DataFrame:
-    """K-04: a new scan of the repositories that use modules with small
-    constraints replaces all their stored rows; other repositories keep theirs."""
+    """K-04: a new scan of some repositories, of their modules with small
+    constraints, replaces all their stored rows; other repositories keep theirs."""
     m = t.need("terraform_modules")
-    batch = m.where(F.col("version").startswith("~> 1")).select(
+    batch = m.where(F.col("version").startswith("~> 1") & F.col("repository").contains("#1")).select(
         "repository", "module", "file_path", F.concat(F.lit("~> 9."), F.lit("0")).alias("version")
     )
     return replace_by_key(m, batch, ["repository"])

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cadence.sources.bound import bind, bound_as_of, bound_defaults
-from oracle.snippets import CALENDAR_DAYS, IAC_DAYS, PR_DAYS, REVIEW_DAYS, TEAM_DAYS, WORKFLOW_DAYS
+from cadence.plans.periods import CALENDAR_DAYS, IAC_DAYS, PR_DAYS, REVIEW_DAYS, TEAM_DAYS, WORKFLOW_DAYS
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 

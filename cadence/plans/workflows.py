@@ -24,7 +24,8 @@ from cadence.functions import (
     two_way_class,
 )
 from cadence.operators.calendar import daily_running_total
-from cadence.operators.period import latest_anchor, resolve_as_of, trailing_period, with_anchor
+from cadence.functions.predicates import since
+from cadence.operators.period import latest_anchor, resolve_as_of, trailing_period
 from cadence.operators.shape import pivot_forward_fill, rate_by
 from cadence.plans.common import REPO, all_repos, per_repo_card, with_repo
 from cadence.sources.tables import Tables
@@ -32,23 +33,32 @@ from cadence.sources.tables import Tables
 MINUTE = 60.0
 
 
-def _runs(t: Tables) -> DataFrame:
-    """Runs with their workflow (J-02) and repository (J-01)."""
-    w = t.need("workflows").select(F.col("id").alias("workflow_id"), "name", "pipeline")
-    return with_repo(t.need("workflow_runs").join(w, "workflow_id", "inner"), t)
+def _latest(t: Tables, as_of) -> DataFrame:
+    """Latest run start per repository id: one row a repository leaves each task, names come later."""
+    return latest_anchor(t.need("workflow_runs"), "repository_id", "created_at", as_of, "max_date")
 
 
 def wf_anchor(t: Tables, as_of=None, d: Defaults = DEFAULTS, **_) -> DataFrame:
     """Latest run start per repository, ``as_of`` for repositories without runs."""
-    runs = with_repo(t.need("workflow_runs"), t)
-    latest = runs.groupBy(REPO).agg(F.max("created_at").alias("max_date"))
+    latest = with_repo(_latest(t, as_of), t).groupBy(REPO).agg(F.max("max_date").alias("max_date"))
     return all_repos(t).join(latest, REPO, "left").select(
         REPO, F.coalesce(F.col("max_date"), resolve_as_of(as_of)).alias("max_date")
     )
 
 
-def _anchored(t: Tables, as_of) -> DataFrame:
-    return with_anchor(_runs(t), wf_anchor(t, as_of), REPO, "max_date")
+def _anchored(t: Tables, as_of, ts: str, days: int) -> DataFrame:
+    """Runs of the period with workflow, repository and anchor.
+
+    No repository's period begins before the earliest anchor minus ``days``:
+    that bound, a scalar, is a filter on the scan of the runs, so files of older
+    runs are skipped; the repository's own period is tested on what is left.
+    """
+    latest = _latest(t, as_of)
+    floor = latest.agg(F.min("max_date")).scalar()
+    runs = t.need("workflow_runs").where(F.col(ts) >= floor - F.make_dt_interval(F.lit(days)))
+    w = t.need("workflows").select(F.col("id").alias("workflow_id"), "name", "pipeline")
+    rows = runs.join(latest, "repository_id", "inner").where(since(ts, F.col("max_date"), days))
+    return with_repo(rows.join(w, "workflow_id", "inner"), t)
 
 
 def _dx_flag(d: Defaults):
@@ -61,7 +71,7 @@ def _label(d: Defaults):
 
 def wf_deployments_weekly(t: Tables, days: int = 120, as_of=None, d: Defaults = DEFAULTS) -> DataFrame:
     """Successful deploy-like runs per Monday week."""
-    r = trailing_period(_anchored(t, as_of), "created_at", days, anchor="max_date").where(
+    r = trailing_period(_anchored(t, as_of, "created_at", days), "created_at", days, anchor="max_date").where(
         contains_any(F.lower("name"), d.deploy_words)
         & trimmed_eq("conclusion", "success")
         & (F.col("name") != d.labeler_workflow)
@@ -72,11 +82,11 @@ def wf_deployments_weekly(t: Tables, days: int = 120, as_of=None, d: Defaults =
 
 
 def _cumulative_input(t: Tables, days: int, as_of, d: Defaults) -> DataFrame:
-    r = trailing_period(_anchored(t, as_of), "created_at", days, anchor="max_date").where(
+    r = trailing_period(_anchored(t, as_of, "created_at", days), "created_at", days, anchor="max_date").where(
         not_in("name", d.excluded_workflows)
     )
     return r.withColumn("pipeline_type", two_way_class("pipeline", [d.dx_pipeline_marker],
-                                                       "DX Pipelines", "Non-DX Pipelines"))
+                                                       d.dx_pipeline_label, d.non_dx_pipeline_label))
 
 
 def wf_dx_runs_cumulative(t: Tables, days: int = 120, as_of=None, d: Defaults = DEFAULTS) -> DataFrame:
@@ -89,11 +99,11 @@ def wf_dx_runs_cumulative_wide(t: Tables, days: int = 120, as_of=None, d: Defaul
     """Wide chart form: one column per series, gaps carried forward (H-01, H-02)."""
     long = wf_dx_runs_cumulative(t, days, as_of, d)
     return pivot_forward_fill(long, REPO, "run_date", "pipeline_type", "cumulative_count",
-                              {"DX Pipelines": "dx", "Non-DX Pipelines": "non_dx"})
+                              {d.dx_pipeline_label: "dx", d.non_dx_pipeline_label: "non_dx"})
 
 
 def wf_failures(t: Tables, days: int = 120, as_of=None, d: Defaults = DEFAULTS) -> DataFrame:
-    r = trailing_period(_anchored(t, as_of), "created_at", days, anchor="max_date").where(
+    r = trailing_period(_anchored(t, as_of, "created_at", days), "created_at", days, anchor="max_date").where(
         trimmed_eq("conclusion", "failure") & not_in("name", d.excluded_workflows)
     )
     return r.groupBy(REPO, _label(d)).agg(F.count(F.lit(1)).alias("failed_runs"))
@@ -101,7 +111,7 @@ def wf_failures(t: Tables, days: int = 120, as_of=None, d: Defaults = DEFAULTS)
 
 def _completed_ok(t: Tables, days: int, as_of, d: Defaults) -> DataFrame:
     """Completed successful runs updated within [anchor − days, anchor] (F-03)."""
-    r = trailing_period(_anchored(t, as_of), "updated_at", days, anchor="max_date", upper=True)
+    r = trailing_period(_anchored(t, as_of, "updated_at", days), "updated_at", days, anchor="max_date", upper=True)
     return r.where(
         (F.col("status") == "completed") & trimmed_eq("conclusion", "success") & not_in("name", d.excluded_workflows)
     )
@@ -131,7 +141,7 @@ def wf_total_duration(t: Tables, days: int = 120, as_of=None, d: Defaults = DEFA
 
 
 def _infra(t: Tables, days: int, as_of, d: Defaults, file_name: str) -> DataFrame:
-    r = trailing_period(_anchored(t, as_of), "created_at", days, anchor="max_date", upper=True).where(
+    r = trailing_period(_anchored(t, as_of, "created_at", days), "created_at", days, anchor="max_date", upper=True).where(
         (F.col("status") == "completed")
         & F.col("pipeline").contains(file_name)
         & (F.col("name") != d.labeler_workflow)
@@ -144,16 +154,16 @@ def _infra(t: Tables, days: int, as_of, d: Defaults, file_name: str) -> DataFram
 
 
 def wf_infra_plan_duration(t: Tables, days: int = 120, as_of=None, d: Defaults = DEFAULTS) -> DataFrame:
-    return _infra(t, days, as_of, d, "infra_plan.yaml")
+    return _infra(t, days, as_of, d, d.infra_plan_file)
 
 
 def wf_infra_apply_duration(t: Tables, days: int = 120, as_of=None, d: Defaults = DEFAULTS) -> DataFrame:
-    return _infra(t, days, as_of, d, "infra_apply.yaml")
+    return _infra(t, days, as_of, d, d.infra_apply_file)
 
 
 def wf_success_ratio(t: Tables, days: int = 120, as_of=None, d: Defaults = DEFAULTS) -> DataFrame:
     """Runs, successes, failures and success % per workflow name (not prefixed)."""
-    r = trailing_period(_anchored(t, as_of), "created_at", days, anchor="max_date").where(
+    r = trailing_period(_anchored(t, as_of, "created_at", days), "created_at", days, anchor="max_date").where(
         trimmed_in("conclusion", ["success", "failure"]) & not_in("name", d.excluded_workflows)
     )
     out = rate_by(r, [REPO, F.col("name").alias("workflow_name")], trimmed_eq("conclusion", "success"),

@@ -30,7 +30,8 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
     )
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
-    ensure_checkpoint_dir(spark)
+    if master.startswith("local"):
+        ensure_checkpoint_dir(spark)
     return spark
 
 
@@ -38,12 +39,16 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by the session.
 
     On a cluster ``spark.checkpoint.dir`` names shared storage and is used as
-    is. Only when nothing is configured (local tests) a scratch folder is made.
+    is; without it this raises, because a folder of one machine is of no use to
+    the others. A scratch folder is made in local sessions (tests) only.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
         configured = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not configured:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir is not set; name a folder that all executors share")
         configured = tempfile.mkdtemp(prefix="cadence-ckpt-")
         spark.conf.set("spark.checkpoint.dir", configured)
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():

@@ -31,7 +31,7 @@ DRIVER_TABLES = (
 # --- fixed values of the test binding (FIXTURES.md §B) ---
 BOUND_BOTS = ("MACHINERY",)
 BOUND_TEAM = ("BUILDING", "rev0", "rev1", "rev2")
-BOUND_CODE_SEARCH_QUERY = "pagopa/dx org:pagopa"
+BOUND_CODE_SEARCH_QUERY = "acme/dx org:acme"
 BOUND_PIPELINE_PREFIX = "/"
 BOUND_PIPELINE_LEAD = 'href="'
 # --- end of fixed values ---
@@ -60,13 +60,22 @@ class Raw:
 
 
 def repositories(raw: Raw) -> DataFrame:
+    """One per nation, with names that the repository rules look for (own, shared, infrastructure), and one
+    repository without any fact."""
     n, r = raw.nation, raw.region
-    return n.join(r, n.n_regionkey == r.r_regionkey).select(
-        F.col("n_nationkey").alias("id"),
-        F.col("n_name").alias("name"),
-        F.concat(F.col("r_name"), F.lit("/"), F.col("n_name")).alias("full_name"),
-        F.col("r_name").alias("organization"),
+    key = F.col("n_nationkey")
+    name = (
+        F.when(key == 1, F.lit("dx"))
+        .when(key == 5, F.lit("technology-radar"))
+        .when(key % 8 == 2, F.concat(F.col("r_name"), F.lit("-dx-"), F.col("n_name")))
+        .when(key % 8 == 3, F.concat(F.lit("terraform-"), F.col("n_name")))
+        .when(key % 8 == 4, F.concat(F.lit("eng-"), F.col("n_name")))
+        .otherwise(F.col("n_name"))
     )
+    named = n.join(r, n.n_regionkey == r.r_regionkey).select(key.alias("id"), name.alias("name"), F.col("r_name").alias("organization"))
+    empty = raw.spark.createDataFrame([(99, "EMPTY", "AFRICA")], named.schema)
+    return named.unionByName(empty).select(
+        "id", "name", F.concat(F.col("organization"), F.lit("/"), F.col("name")).alias("full_name"), "organization")
 
 
 def order_facts(raw: Raw) -> DataFrame:
@@ -78,7 +87,7 @@ def order_facts(raw: Raw) -> DataFrame:
         .groupBy("o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate", "o_orderpriority")
         .agg(
             F.min(F.when(F.col("l_shipdate") >= F.col("o_orderdate"), F.col("l_shipdate"))).alias("merged_at"),
-            F.sum("l_quantity").cast("bigint").alias("additions"),
+            (F.sum("l_quantity").cast("bigint") * F.when(F.col("o_orderkey") % 5 == 0, 4).otherwise(1)).alias("additions"),
             F.count("l_orderkey").alias("n_items"),
         )
     )
@@ -137,7 +146,7 @@ def pull_request_reviews(raw: Raw) -> DataFrame:
         F.col("c_nationkey").alias("repository_id"),
         F.concat(F.lit("rev"), (F.col("l_suppkey") % 20).cast("string")).alias("reviewer"),
         F.when(flag == "A", "APPROVED").when(flag == "R", "CHANGES_REQUESTED").otherwise("COMMENTED").alias("state"),
-        F.col("l_shipdate").alias("submitted_at"),
+        F.when(F.col("l_linenumber") != 7, F.col("l_shipdate")).alias("submitted_at"),
     )
 
 
@@ -164,8 +173,8 @@ def workflows(raw: Raw) -> DataFrame:
     )
     pipeline = (
         F.when(u % 5 == 0, F.lit(None).cast("string"))
-        .when(u % 5 == 1, F.lit("uses: pagopa/dx/.github/workflows/infra_plan.yaml"))
-        .when(u % 5 == 2, F.lit("uses: pagopa/dx/.github/workflows/infra_apply.yaml"))
+        .when(u % 5 == 1, F.lit("uses: acme/dx/.github/workflows/infra_plan.yaml"))
+        .when(u % 5 == 2, F.lit("uses: acme/dx/.github/workflows/infra_apply.yaml"))
         .when(u % 5 == 3, F.lit("infra_plan.yaml"))
         .otherwise(F.lit("ci.yaml"))
     )
@@ -193,18 +202,15 @@ def workflow_runs(raw: Raw) -> DataFrame:
     )
 
 
-def iac_pr_lead_times(prs: DataFrame, repos: DataFrame) -> DataFrame:
-    r = repos.select("id", "full_name")
-    p = prs.where(F.col("merged_at").isNotNull() & (F.col("number") % 4 == 0))
-    return p.join(r, p.repository_id == r.id).select(
-        "repository_id",
-        F.col("full_name").alias("repository_full_name"),
-        F.col("number").alias("pr_number"),
-        "title",
-        "author",
-        "created_at",
-        "merged_at",
-    )
+def iac_lead_time_rows(commits: DataFrame, prs: DataFrame) -> DataFrame:
+    """The infrastructure ingest (I-06) over all commits: commit ``o-l`` belongs to PR ``o``."""
+    from cadence.plans.ingest import iac_from_numbered
+
+    numbered = commits.select(
+        "repository_id", "repository_full_name", "author",
+        F.split_part("sha", F.lit("-"), F.lit(1)).cast("bigint").alias("number"))
+    p = prs.select("repository_id", "number", "title", F.col("author").alias("user_login"), "created_at", "merged_at")
+    return iac_from_numbered(numbered, p, BOUND_TEAM, home_repo=DEFAULTS.dx_repo)
 
 
 def terraform_modules(raw: Raw) -> DataFrame:
@@ -214,7 +220,7 @@ def terraform_modules(raw: Raw) -> DataFrame:
         F.when(k % 7 == 0, F.concat(F.lit("./local/"), t))
         .when(k % 7 == 1, F.concat(F.lit("../shared/"), t))
         .when(k % 7 == 2, F.concat(F.lit("hashicorp/"), t, F.lit("/aws")))
-        .otherwise(F.concat(F.lit("pagopa-dx/"), t, F.lit("/azurerm")))
+        .otherwise(F.concat(F.lit("acme-dx/"), t, F.lit("/azurerm")))
     )
     version = (
         F.when(k % 6 == 0, F.lit(None).cast("string"))
@@ -294,7 +300,7 @@ class BoundTables(Tables):
         "pull_request_reviews": lambda b: pull_request_reviews(b.raw),
         "workflows": lambda b: workflows(b.raw),
         "workflow_runs": lambda b: workflow_runs(b.raw),
-        "iac_pr_lead_times": lambda b: iac_pr_lead_times(b.need("pull_requests"), b.need("repositories")),
+        "iac_pr_lead_times": lambda b: iac_lead_time_rows(b.need("commits"), b.need("pull_requests")),
         "commits": lambda b: commits(b.raw, b.need("repositories")),
         "code_search_results": lambda b: code_search_results(b.raw),
         "dx_pipeline_usages": lambda b: dx_pipeline_usages(b.raw),

@@ -22,6 +22,7 @@ TRACKER_HEADERS = {
 # a field: plain characters or quoted runs (a quote toggles; an open quote runs to the end)
 CSV_FIELD = r'(?:^|,)((?:[^,"]|"[^"]*(?:"|$))*)'
 SHORT_DATE = r"^(\d{1,2})/(\d{1,2})/(\d{2}),?\s*(\d{1,2}):(\d{1,2})$"
+ZONE = r"(?<=:\d\d(?:\.\d{1,9})?)\s?(Z|[+-]\d{2}:?\d{2})$"
 ISO_DATE = r"^\d{4}-\d{2}-\d{2}"
 # --- end of fixed values ---
 
@@ -33,8 +34,8 @@ def read_json_pages(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def decode_base64(c) -> Column:
-    """Base64 file content → text (S-03)."""
-    return F.unbase64(as_col(c)).cast("string")
+    """Base64 file content → text, NULL when it is malformed (S-03)."""
+    return F.try_to_binary(as_col(c), F.lit("base64")).cast("string")
 
 
 def _text_or_empty(item: Column, field: str) -> Column:
@@ -83,7 +84,20 @@ def parse_registry_versions(df: DataFrame, text_col: str, keys: list[str]) -> Da
 def parse_published_at(c) -> Column:
     """``published_at`` text → timestamp, NULL when missing or unparsable (S-05)."""
     doc = F.try_parse_json(as_col(c))
-    return F.try_to_timestamp(F.try_variant_get(doc, "$.published_at", "string")).cast("timestamp_ntz")
+    return iso_utc(F.try_variant_get(doc, "$.published_at", "string"))
+
+
+def iso_utc(c) -> Column:
+    """ISO date or date-time text → UTC wall time, NULL when unparsable. An
+    offset is applied by arithmetic on the text, so the session's zone plays no
+    part; text without an offset is UTC."""
+    r = as_col(c)
+    zone = F.regexp_extract(r, ZONE, 1)
+    local = F.regexp_replace(r, ZONE, "").try_cast("timestamp_ntz")
+    sign = F.when(zone.startswith("-"), F.lit(-1)).otherwise(F.lit(1))
+    digits = F.regexp_replace(zone, "[^0-9]", "")
+    minutes = sign * (F.substring(digits, 1, 2).try_cast("int") * 60 + F.substring(digits, 3, 2).try_cast("int"))
+    return local - F.make_dt_interval(F.lit(0), F.lit(0), F.coalesce(minutes, F.lit(0)))
 
 
 def tracker_date(raw, strict: bool = False) -> Column:
@@ -98,7 +112,7 @@ def tracker_date(raw, strict: bool = False) -> Column:
     else:
         base = F.date_add(F.add_months(F.make_date(g[2] + 2000, F.lit(1), F.lit(1)), g[1] - 1), g[0] - 1)
         short = base.cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), g[3], g[4])
-    iso = F.try_to_timestamp(r).cast("timestamp_ntz")
+    iso = iso_utc(r)
     return F.when(r.isNull() | (r == ""), F.lit(None).cast("timestamp_ntz")).when(matched, short).when(
         r.rlike(ISO_DATE), iso
     )
@@ -114,28 +128,27 @@ def split_csv_line(line) -> Column:
 def read_tracker_csv(spark: SparkSession, path: str, strict_dates: bool = False) -> DataFrame:
     """Tracker export → tracker_requests rows (S-06, S-07, I-12).
 
-    Lines split on newline, blank lines dropped, the first line is the header.
-    Columns are found by header substring (case-insensitive) — the header is
-    the only thing read on the driver. A missing column, an empty value or the
-    text 'undefined' gives ''. Fewer than two lines → no rows (the caller keeps
-    the stored table, as the original does).
+    Lines split on newline, blank lines dropped; the first line of every file is
+    its header, in which the columns are found by substring (case-insensitive).
+    A missing column, an empty value or the text 'undefined' gives ''. A file
+    with fewer than two lines gives no rows (the caller keeps the stored table,
+    as the original does). Headers are found by one aggregate with a row per
+    file, joined to the lines: no global sort, nothing on the driver.
     """
-    lines = spark.read.text(path).where(F.trim("value") != "")
-    lines = lines.withColumn("__i", F.monotonically_increasing_id())
-    head = lines.orderBy("__i").select("value").first()
-    if head is None:
-        return spark.createDataFrame([], _TRACKER_SCHEMA)
-    headers = [h.strip() for h in _split_header(head["value"])]
-    index = {k: next((i for i, h in enumerate(headers) if sub in h.lower()), -1)
-             for k, sub in TRACKER_HEADERS.items()}
-    first_id = lines.agg(F.min("__i")).first()[0]
-    body = lines.where(F.col("__i") != F.lit(first_id)).select(split_csv_line("value").alias("f"))
+    lines = spark.read.text(path).where(F.trim("value") != "").select(
+        "value", F.col("_metadata.file_path").alias("__file"),
+        F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id")).alias("__at"))
+    heads = lines.groupBy("__file").agg(F.min_by("value", "__at").alias("head"), F.min("__at").alias("__first"))
+    names = F.transform(split_csv_line("head"), F.lower)
+
+    def place(sub: str) -> Column:
+        return F.array_position(F.transform(names, lambda n: n.contains(sub)), F.lit(True)).cast("int")
+
+    heads = heads.select("__file", "__first", *[place(sub).alias(f"__i_{k}") for k, sub in TRACKER_HEADERS.items()])
+    body = lines.join(heads, "__file").where(F.col("__at") != F.col("__first")).withColumn("f", split_csv_line("value"))
 
     def value(k: str) -> Column:
-        i = index[k]
-        if i < 0:
-            return F.lit("")
-        v = F.get(F.col("f"), i)
+        v = F.when(F.col(f"__i_{k}") > 0, F.get(F.col("f"), F.col(f"__i_{k}") - 1))
         return F.when(v.isNull() | (v == "") | (v == "undefined"), F.lit("")).otherwise(v)
 
     return body.select(
@@ -148,22 +161,3 @@ def read_tracker_csv(spark: SparkSession, path: str, strict_dates: bool = False)
         value("submitted").alias("raw_submitted_at"),
         value("closed").alias("raw_closed_at"),
     )
-
-
-_TRACKER_SCHEMA = ("submitted_at timestamp_ntz, closed_at timestamp_ntz, category string, priority string, "
-                   "is_closed string, status string, raw_submitted_at string, raw_closed_at string")
-
-
-def _split_header(line: str) -> list[str]:
-    """The header line by the same toggle rule (driver side, one line)."""
-    out, cur, quoted = [], [], False
-    for ch in line:
-        if ch == '"':
-            quoted = not quoted
-        elif ch == "," and not quoted:
-            out.append("".join(cur).strip())
-            cur = []
-        else:
-            cur.append(ch)
-    out.append("".join(cur).strip())
-    return out

@@ -1,27 +1,42 @@
-"""The stored tables the metrics read, bundled as lazy DataFrames (S-01)."""
+"""The stored tables the metrics read, bundled as lazy DataFrames (S-01), and writers (K-06, K-09)."""
 
 from __future__ import annotations
 
-import os
 from dataclasses import dataclass, fields
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
-TABLE_NAMES = (
-    "repositories",
-    "pull_requests",
-    "pull_request_reviews",
-    "workflows",
-    "workflow_runs",
-    "iac_pr_lead_times",
-    "commits",
-    "code_search_results",
-    "dx_pipeline_usages",
-    "terraform_modules",
-    "terraform_registry_releases",
-    "tracker_requests",
-    "dx_team_members",
-)
+#: Stored columns; tables are read with these schemas, never inferred.
+SCHEMAS = {
+    "repositories": "id int, name string, full_name string, organization string",
+    "pull_requests": "id bigint, repository_id int, number int, title string, author string, review_decision string, "
+                     "created_at timestamp_ntz, closed_at timestamp_ntz, merged_at timestamp_ntz, merged_by string, "
+                     "additions int, total_comments_count int, draft int",
+    "pull_request_reviews": "id bigint, pull_request_id bigint, repository_id int, reviewer string, state string, "
+                            "submitted_at timestamp_ntz",
+    "workflows": "id bigint, repository_id int, name string, pipeline string",
+    "workflow_runs": "id bigint, repository_id int, workflow_id bigint, conclusion string, status string, "
+                     "created_at timestamp_ntz, updated_at timestamp_ntz",
+    "iac_pr_lead_times": "id int, repository_id int, repository_full_name string, pr_number int, title string, author string, "
+                         "created_at timestamp_ntz, merged_at timestamp_ntz, lead_time_days decimal(18,2), "
+                         "target_authors array<string>",
+    "commits": "sha string, repository_id int, repository_full_name string, author string, committer string, "
+               "committer_date timestamp_ntz, message string",
+    "code_search_results": "id int, query string, repository_full_name string, path string, fetched_at timestamp_ntz",
+    "dx_pipeline_usages": "id int, repository string, caller_file string, dx_workflow string, ref string",
+    "terraform_modules": "id int, repository string, module string, file_path string, version string",
+    "terraform_registry_releases": "id int, module_name string, provider string, major_version int, "
+                                   "first_release_version string, release_date timestamp_ntz, releases_count int, "
+                                   "latest_version string",
+    "tracker_requests": "id int, submitted_at timestamp_ntz, closed_at timestamp_ntz, category string, priority string, "
+                        "is_closed string, status string, raw_submitted_at string, raw_closed_at string",
+    "dx_team_members": "id int, username string",
+    "config": "key string, value string",
+    "sync_runs": "id int, entity_type string, repository_id int, started_at timestamp_ntz, completed_at timestamp_ntz, "
+                 "since_date timestamp_ntz, status string",
+}
+TABLE_NAMES = tuple(SCHEMAS)
 
 
 @dataclass
@@ -42,6 +57,8 @@ class Tables:
     terraform_registry_releases: DataFrame | None = None
     tracker_requests: DataFrame | None = None
     dx_team_members: DataFrame | None = None
+    config: DataFrame | None = None
+    sync_runs: DataFrame | None = None
 
     def need(self, name: str) -> DataFrame:
         df = getattr(self, name)
@@ -53,17 +70,29 @@ class Tables:
         return [f.name for f in fields(self) if getattr(self, f.name) is not None]
 
 
-def read_tables(spark: SparkSession, root: str, names=TABLE_NAMES) -> Tables:
-    """Read stored tables written as ``<root>/<name>`` parquet folders."""
+def read_tables(spark: SparkSession, root: str, names=TABLE_NAMES, missing_ok: bool = False) -> Tables:
+    """Read stored tables written as ``<root>/<name>`` parquet folders, with their schemas.
+
+    Spark looks the folders up, so any file system will do. A missing folder is
+    an error; with ``missing_ok`` the table stays unset.
+    """
     kw = {}
     for name in names:
-        path = os.path.join(root, name)
-        if os.path.exists(path) or "://" in root:
-            kw[name] = spark.read.parquet(path)
+        try:
+            kw[name] = spark.read.schema(SCHEMAS[name]).parquet(f"{root.rstrip('/')}/{name}")
+        except AnalysisException as e:
+            if not missing_ok or e.getCondition() != "PATH_NOT_FOUND":
+                raise
     return Tables(**kw)
 
 
 def write_tables(tables: Tables, root: str, mode: str = "overwrite") -> None:
     """Persist every loaded table as a parquet folder (K-06 full replace)."""
     for name in tables.names():
-        tables.need(name).write.mode(mode).parquet(os.path.join(root, name))
+        tables.need(name).write.mode(mode).parquet(f"{root.rstrip('/')}/{name}")
+
+
+def write_results(results: dict[str, DataFrame], root: str, mode: str = "overwrite") -> None:
+    """Store named result frames as ``<root>/<name>`` parquet folders (K-09)."""
+    for name, df in results.items():
+        df.write.mode(mode).parquet(f"{root.rstrip('/')}/{name}")

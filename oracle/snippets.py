@@ -5,7 +5,7 @@ from oracle.views import AS_OF as A  # noqa: F401  (scalar subquery: one day aft
 # parameters of the registered queries (the Spark side reads the same values)
 PR_DAYS = 720
 REVIEW_DAYS = 720
-WORKFLOW_DAYS = 30
+WORKFLOW_DAYS = 10
 IAC_DAYS = 720
 TEAM_DAYS = 720
 CALENDAR_DAYS = 120

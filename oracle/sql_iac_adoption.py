@@ -89,25 +89,25 @@ _W = """
 with w as (
   select r.full_name as repository, w.name, w.pipeline,
          row_number() over (partition by r.full_name, w.name
-                            order by case when w.pipeline like '%pagopa/dx%' then 0 else 1 end, w.id) as rn
+                            order by case when w.pipeline like '%acme/dx%' then 0 else 1 end, w.id) as rn
   from workflows w join repositories r on w.repository_id = r.id
   where w.name not in ('CodeQL', 'Labeler'))
 """
 
 SQL["adoption_pipelines"] = _W + """
 select repository,
-       case when pipeline like '%pagopa/dx%' then 'DX Pipelines' else 'Non-DX Pipelines' end as pipeline_type,
+       case when pipeline like '%acme/dx%' then 'DX Pipelines' else 'Non-DX Pipelines' end as pipeline_type,
        count(*) as pipeline_count
 from w where rn = 1 group by 1, 2
 """
 
 SQL["adoption_workflow_list"] = _W + """
 select repository, name as workflow_name,
-       case when pipeline like '%pagopa/dx%' then '✓ DX' else 'Non-DX' end as pipeline_type
+       case when pipeline like '%acme/dx%' then '✓ DX' else 'Non-DX' end as pipeline_type
 from w where rn = 1
 """
 
-_DXMOD = "(module like '%pagopa-dx%' or module like '%pagopa/dx%')"
+_DXMOD = "(module like '%acme-dx%' or module like '%acme/dx%')"
 _NOTREL = "module not like './%' and module not like '../%'"
 
 SQL["adoption_modules"] = f"""
@@ -134,7 +134,7 @@ select tm.repository, tm.module as module_name, tm.version as used_version, l.la
             when try_cast(nullif(regexp_extract(tm.version, '([0-9]+)', 1), '') as integer) < l.major_version
               then 'outdated'
             else 'unknown' end as drift_status,
-       ((tm.module like '%pagopa-dx%' or tm.module like '%pagopa/dx%')
+       ((tm.module like '%acme-dx%' or tm.module like '%acme/dx%')
         and tm.module not like './%' and tm.module not like '../%') as is_dx
 from terraform_modules tm
 left join lateral (

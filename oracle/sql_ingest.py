@@ -48,8 +48,8 @@ b as (
          r.submitted_at as o1, r.reviewer as o2, r.state as o3
   from pull_request_reviews r join pull_requests p on p.id = r.pull_request_id
   where p.created_at >= timestamp '1998-06-01'),
-bf as (select * from (select *, row_number() over (partition by id order by o1, o2, o3) as rn from b) x where rn = 1),
-bl as (select * from (select *, row_number() over (partition by id order by o1 desc, o2 desc, o3 desc) as rn
+bf as (select * from (select *, row_number() over (partition by id order by o1 nulls first, o2, o3) as rn from b) x where rn = 1),
+bl as (select * from (select *, row_number() over (partition by id order by o1 desc nulls last, o2 desc, o3 desc) as rn
                       from b) x where rn = 1)
 select coalesce(t.id, bf.id) as id,
        case when t.id is not null then t.repository_id else bf.repository_id end as repository_id,
@@ -69,7 +69,7 @@ left join bl on bl.id = coalesce(t.id, bf.id)
 
 SQL["replace_by_key"] = """
 with b as (select repository, module, file_path, '~> 9.0' as version from terraform_modules
-           where starts_with(version, '~> 1'))
+           where starts_with(version, '~> 1') and contains(repository, '#1'))
 select repository, module, file_path, version from terraform_modules
 where repository not in (select distinct repository from b)
 union all

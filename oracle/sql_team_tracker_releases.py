@@ -56,7 +56,7 @@ group by 1, 2, 3
 SQL["adopting_repositories"] = """
 select distinct repository_full_name as repository
 from code_search_results
-where query = 'pagopa/dx org:pagopa' and repository_full_name not like '%dx%'
+where query = 'acme/dx org:acme' and repository_full_name not like '%dx%'
 """
 
 SQL["shared_pipeline_usage"] = """
@@ -102,8 +102,9 @@ select nd.request_date, nd.requests as actual_requests,
 from nd, coef c
 """
 
-_INITCAP = ("array_to_string(list_transform(regexp_extract_all(lower({c}), '([a-z0-9]+|[^a-z0-9]+)', 1), "
-            "lambda x: upper(x[1]) || x[2:]), '')")
+# character by character: upper case after anything that is neither letter nor digit
+_INITCAP = ("array_to_string(list_transform(range(1, length({c}) + 1), lambda i: case when i = 1 or not "
+            "regexp_matches({c}[i - 1], '[\\p{{L}}\\p{{N}}]') then upper({c}[i]) else lower({c}[i]) end), '')")
 
 SQL["tracker_by_category"] = f"""
 select {_INITCAP.format(c='category')} as category, count(*) as requests

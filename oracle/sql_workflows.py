@@ -16,7 +16,7 @@ base as (
   from workflow_runs wr join workflows w on wr.workflow_id = w.id join anc on wr.repository_id = anc.rid)
 """
 
-_LABEL = "concat(case when pipeline like '%pagopa/dx%' then 'DX ' else '' end, name)"
+_LABEL = "concat(case when pipeline like '%acme/dx%' then 'DX ' else '' end, name)"
 _OK = f"""status = 'completed' and trim(conclusion) = 'success'
   and updated_at >= max_date - to_days({D}) and updated_at <= max_date and name not in ('CodeQL', 'Labeler')"""
 
@@ -39,7 +39,7 @@ select repository, run_date, pipeline_type,
                          rows between unbounded preceding and current row) as bigint) as cumulative_count
 from (
   select repository, cast(created_at as date) as run_date,
-         case when pipeline like '%pagopa/dx%' then 'DX Pipelines' else 'Non-DX Pipelines' end as pipeline_type,
+         case when pipeline like '%acme/dx%' then 'DX Pipelines' else 'Non-DX Pipelines' end as pipeline_type,
          count(*) as n
   from base where created_at >= max_date - to_days({D}) and name not in ('CodeQL', 'Labeler')
   group by 1, 2, 3) x

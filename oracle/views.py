@@ -12,9 +12,16 @@ import re
 VIEWS: dict[str, str] = {}
 
 VIEWS["repositories"] = """
-select n_nationkey as id, n_name as name,
-       concat(r_name, '/', n_name) as full_name, r_name as organization
-from nation join region on n_regionkey = r_regionkey
+select id, name, concat(organization, '/', name) as full_name, organization
+from (
+  select n_nationkey as id, r_name as organization,
+         case when n_nationkey = 1 then 'dx' when n_nationkey = 5 then 'technology-radar'
+              when n_nationkey % 8 = 2 then concat(r_name, '-dx-', n_name)
+              when n_nationkey % 8 = 3 then concat('terraform-', n_name)
+              when n_nationkey % 8 = 4 then concat('eng-', n_name) else n_name end as name
+  from nation join region on n_regionkey = r_regionkey
+  union all
+  select 99, 'AFRICA', 'EMPTY') x
 """
 
 VIEWS["pull_requests"] = """
@@ -34,7 +41,7 @@ join customer c on o.o_custkey = c.c_custkey
 left join (
   select o2.o_orderkey as k,
          min(case when l_shipdate >= o2.o_orderdate then l_shipdate end) as merged_at,
-         cast(sum(l_quantity) as bigint) as additions,
+         cast(sum(l_quantity) as bigint) * (case when o2.o_orderkey % 5 = 0 then 4 else 1 end) as additions,
          count(*) as total_comments_count
   from lineitem join orders o2 on l_orderkey = o2.o_orderkey
   group by o2.o_orderkey) l on l.k = o.o_orderkey
@@ -45,7 +52,7 @@ select l_orderkey as pull_request_id, c_nationkey as repository_id,
        concat('rev', cast(l_suppkey % 20 as string)) as reviewer,
        case l_returnflag when 'A' then 'APPROVED' when 'R' then 'CHANGES_REQUESTED'
             else 'COMMENTED' end as state,
-       l_shipdate as submitted_at
+       case when l_linenumber <> 7 then l_shipdate end as submitted_at
 from lineitem
 join orders on l_orderkey = o_orderkey
 join customer on o_custkey = c_custkey
@@ -59,8 +66,8 @@ select distinct user_id as id, user_id % 25 as repository_id,
             when user_id % 6 = 1 then concat('Release ', cast(user_id % 12 as string))
             else concat('Build ', cast(user_id % 12 as string)) end as name,
        case when user_id % 5 = 0 then null
-            when user_id % 5 = 1 then 'uses: pagopa/dx/.github/workflows/infra_plan.yaml'
-            when user_id % 5 = 2 then 'uses: pagopa/dx/.github/workflows/infra_apply.yaml'
+            when user_id % 5 = 1 then 'uses: acme/dx/.github/workflows/infra_plan.yaml'
+            when user_id % 5 = 2 then 'uses: acme/dx/.github/workflows/infra_apply.yaml'
             when user_id % 5 = 3 then 'infra_plan.yaml'
             else 'ci.yaml' end as pipeline
 from events
@@ -78,9 +85,10 @@ from events
 
 VIEWS["iac_pr_lead_times"] = """
 select p.repository_id, r.full_name as repository_full_name, p.number as pr_number,
-       p.title, p.author, p.created_at, p.merged_at
+       p.title, coalesce(p.author, 'unknown') as author, p.created_at, p.merged_at
 from pull_requests p join repositories r on p.repository_id = r.id
-where p.merged_at is not null and p.number % 4 = 0
+where p.merged_at is not null and r.name <> 'dx'
+  and exists (select 1 from lineitem where l_orderkey = p.number)
 """
 
 VIEWS["dx_team_members"] = """
@@ -103,7 +111,7 @@ select p_brand as repository,
        case p_partkey % 7 when 0 then concat('./local/', lower(p_type))
             when 1 then concat('../shared/', lower(p_type))
             when 2 then concat('hashicorp/', lower(p_type), '/aws')
-            else concat('pagopa-dx/', lower(p_type), '/azurerm') end as module,
+            else concat('acme-dx/', lower(p_type), '/azurerm') end as module,
        p_name as file_path,
        case p_partkey % 6 when 0 then null when 1 then 'main'
             else concat('~> ', cast(p_partkey % 5 as string), '.1') end as version
@@ -128,7 +136,7 @@ from orders join pull_requests p on p.id = o_orderkey
 """
 
 VIEWS["code_search_results"] = """
-select 'pagopa/dx org:pagopa' as query,
+select 'acme/dx org:acme' as query,
        concat('org/', source, case when doc_id % 7 = 0 then '-dx' else '' end) as repository_full_name,
        cast(doc_id as string) as path
 from documents

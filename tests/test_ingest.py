@@ -100,14 +100,14 @@ def test_read_tracker_csv(spark):
 def test_module_scan_lenient_typing(spark):
     from cadence.sources.landed import parse_module_scan
 
-    doc = ('{"modules": [{"source": "pagopa-dx/x/azurerm", "version": 3, "filePath": "main.tf", "lineNumber": 7},'
+    doc = ('{"modules": [{"source": "acme-dx/x/azurerm", "version": 3, "filePath": "main.tf", "lineNumber": 7},'
            ' "junk", {"source": 5, "lineNumber": "x"}]}')
     df = spark.createDataFrame([("org/a", doc), ("org/b", "not json")], "repo string, body string")
     rows = parse_module_scan(df, "body", "repo").orderBy("lineNumber").collect()
     assert len(rows) == 2
     assert (rows[0]["source"], rows[0]["lineNumber"]) == ("", 0.0)
     assert (rows[1]["source"], rows[1]["version"], rows[1]["filePath"], rows[1]["lineNumber"]) == \
-        ("pagopa-dx/x/azurerm", "", "main.tf", 7.0)
+        ("acme-dx/x/azurerm", "", "main.tf", 7.0)
 
 
 def test_registry_parsers(spark):
@@ -124,3 +124,97 @@ def test_registry_parsers(spark):
                                 "body string")
     got = [r[0] for r in pub.select(parse_published_at("body")).collect()]
     assert got[0] is not None and got[1] is None
+
+
+def test_update_found_does_not_fan_out(spark):
+    from cadence.operators.merge import update_found
+
+    target = spark.createDataFrame([(1, None), (2, 5)], "id int, n int")
+    details = spark.createDataFrame([(1, 7, 1), (1, 9, 2), (1, 8, 0)], "id int, n int, o int")
+    assert sorted(map(tuple, update_found(target, details, ["id"], ["n"], "o").collect())) == [(1, 9), (2, 5)]
+    assert sorted(map(tuple, update_found(target, details, ["id"], ["n"]).collect())) == [(1, 9), (2, 5)]
+
+
+def test_malformed_base64_keeps_the_path(spark):
+    from cadence.plans.ingest import import_workflows
+
+    target = spark.createDataFrame([], "id int, repository_id int, name string, pipeline string")
+    landed = spark.createDataFrame([(1, 1, "a", "uses: x\n", ".github/a.yaml", 1), (2, 1, "b", "!!!", ".github/b.yaml", 1)],
+                                   "id int, repository_id int, name string, content string, path string, arrival int")
+    landed = landed.withColumn("content_b64", F.when(F.col("id") == 1, F.base64(F.col("content").cast("binary"))).otherwise(F.col("content")))
+    got = {r.id: r.pipeline for r in import_workflows(target, landed).collect()}
+    assert got == {1: "uses: x\n", 2: ".github/b.yaml"}
+
+
+def test_tracker_files_with_headers_of_their_own(spark):
+    folder = tempfile.mkdtemp(prefix="cadence-csv-")
+    with open(os.path.join(folder, "a.csv"), "w") as f:
+        f.write("\nData di invio,Tipologia\n2024-05-06,bug\n")
+    with open(os.path.join(folder, "b.csv"), "w") as f:
+        f.write("Tipologia,Data di invio\nfeature,2024-05-07\n")
+    with open(os.path.join(folder, "c.csv"), "w") as f:
+        f.write("Tipologia,Data di invio\n")
+    got = sorted((r.category, r.raw_submitted_at, r.status) for r in read_tracker_csv(spark, folder).collect())
+    assert got == [("bug", "2024-05-06", ""), ("feature", "2024-05-07", "")]
+
+
+def test_dates_do_not_follow_the_session_zone(spark):
+    from cadence.sources.landed import iso_utc
+
+    rows = [("2025-01-01T02:00:00Z",), ("2025-01-01T02:00:00.5+02:30",), ("2025-01-01 02:00:00",), ("2025-01-01",), ("2025-01-01T02:00-0100",), ("x",)]
+    df = spark.createDataFrame(rows, "s string")
+    want = [D(2025, 1, 1, 2), D(2024, 12, 31, 23, 30, 0, 500000), D(2025, 1, 1, 2), D(2025, 1, 1), D(2025, 1, 1, 3), None]
+    before = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        for zone in ("UTC", "America/New_York"):
+            spark.conf.set("spark.sql.session.timeZone", zone)
+            assert [r[0] for r in df.select(iso_utc("s")).collect()] == want
+            assert [r[0] for r in df.select(tracker_date("s")).collect()] == want
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
+
+
+def test_commits_of_new_repositories_create_them(spark):
+    from cadence.plans.ingest import import_member_commits
+
+    repos = spark.createDataFrame([(4, "a", "o/a", "o")], "id int, name string, full_name string, organization string")
+    target = spark.createDataFrame([], "sha string, repository_id int, repository_full_name string, author string, message string")
+    landed = spark.createDataFrame([("s1", "o/a", "x", "m" * 600, 1), ("s2", "p/new", "y", "m", 2), ("s2", "p/new", "z", "m", 3)],
+                                   "sha string, repository_full_name string, author string, message string, arrival int")
+    commits, repositories = import_member_commits(target, landed, repos)
+    assert sorted((r.sha, r.repository_id, r.author, len(r.message)) for r in commits.collect()) == [("s1", 4, "x", 600), ("s2", 5, "y", 1)]
+    assert (5, "new", "p/new", "p") in [tuple(r) for r in repositories.collect()]
+    cut, _ = import_member_commits(target, landed, repos, message_chars=500)
+    assert {len(r.message) for r in cut.collect()} == {500, 1}
+
+
+def test_failed_second_attempt_does_not_undo_the_first(spark):
+    from cadence.operators.checkpoint import done_already, finish_runs, start_runs
+
+    item = spark.createDataFrame([("prs:a", None, D(2024, 1, 1))], "entity_type string, repository_id int, since_date timestamp_ntz")
+    first, second = start_runs(item, D(2024, 2, 1)), start_runs(item, D(2024, 2, 2))
+    log = first.union(finish_runs(first, F.lit(True), D(2024, 2, 1, 1))).union(second).union(finish_runs(second, F.lit(False), D(2024, 2, 2, 1)))
+    assert done_already(item.select("entity_type", "since_date"), log).count() == 1
+
+
+def test_initcap_of_any_script(spark):
+    from cadence.functions.text import pg_initcap
+
+    df = spark.createDataFrame([("priorità",), ("niñez ALTA",), ("l'ÉTÉ_à2b",), ("ßx",)], "s string")
+    assert [r[0] for r in df.select(pg_initcap("s")).collect()] == ["Priorità", "Niñez Alta", "L'Été_À2b", "ßx"]
+
+
+def test_stored_tables_round_trip_with_schemas(spark):
+    import pytest
+    from pyspark.errors import AnalysisException
+
+    from cadence.sources.tables import Tables, read_tables, write_results, write_tables
+
+    root = "file://" + tempfile.mkdtemp(prefix="cadence-tables-")
+    repos = spark.createDataFrame([(4, "a", "o/a", "o")], "id int, name string, full_name string, organization string")
+    write_tables(Tables(repositories=repos), root)
+    write_results({"config": spark.createDataFrame([("k", "v")], "key string, value string")}, root)
+    t = read_tables(spark, root, missing_ok=True)
+    assert t.names() == ["repositories", "config"] and t.repositories.collect() == repos.collect()
+    with pytest.raises(AnalysisException):
+        read_tables(spark, root)

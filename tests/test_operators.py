@@ -127,9 +127,9 @@ def test_trend_matches_sums_form(spark):
 
 def test_drift_statuses(spark):
     uses = spark.createDataFrame(
-        [("r", "pagopa-dx/m/azurerm", "f", None), ("r", "pagopa-dx/m/azurerm", "f", "main"),
-         ("r", "pagopa-dx/m/azurerm", "f", "~> 2.1"), ("r", "pagopa-dx/m/azurerm", "f", ">= 1, < 3"),
-         ("r", "pagopa-dx/m/azurerm", "f", "~> 3.0"), ("r", "pagopa-dx/zz/azurerm", "f", "~> 1.0")],
+        [("r", "acme-dx/m/azurerm", "f", None), ("r", "acme-dx/m/azurerm", "f", "main"),
+         ("r", "acme-dx/m/azurerm", "f", "~> 2.1"), ("r", "acme-dx/m/azurerm", "f", ">= 1, < 3"),
+         ("r", "acme-dx/m/azurerm", "f", "~> 3.0"), ("r", "acme-dx/zz/azurerm", "f", "~> 1.0")],
         "repository string, module string, file_path string, version string",
     )
     rel = spark.createDataFrame([("m", "azurerm", 2, "2.4.0"), ("m", "aws", 1, "1.0.0")],

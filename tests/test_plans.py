@@ -3,10 +3,10 @@ scans read only the columns they need."""
 
 import pytest
 
-import __spark_entry__ as E
+from cadence.plans.registry import queries
 from conftest import SMALL
 
-QUERIES = E.queries()
+QUERIES = queries()
 
 
 @pytest.mark.parametrize("key", sorted(QUERIES))
