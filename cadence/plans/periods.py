@@ -6,3 +6,6 @@ WORKFLOW_DAYS = 10
 IAC_DAYS = 720
 TEAM_DAYS = 720
 CALENDAR_DAYS = 120
+#: A period that ends amid the data, so that its upper end decides something.
+MID_DAYS = 300
+MID_AS_OF = "1998-06-30"

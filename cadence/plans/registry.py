@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cadence.sources.bound import bind, bound_as_of, bound_defaults
-from cadence.plans.periods import CALENDAR_DAYS, IAC_DAYS, PR_DAYS, REVIEW_DAYS, TEAM_DAYS, WORKFLOW_DAYS
+from cadence.plans.periods import CALENDAR_DAYS, IAC_DAYS, MID_AS_OF, MID_DAYS, PR_DAYS, REVIEW_DAYS, TEAM_DAYS, WORKFLOW_DAYS
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 
@@ -43,10 +43,18 @@ def _events_running_total(t, d=None, **_):
     )
 
 
+def _pipeline_share(t, d=None, **_):
+    """Share of each pipeline class in its repository's workflows (H-04)."""
+    from cadence.operators.shape import class_share
+    from cadence.plans import adoption
+
+    return class_share(adoption.METRICS["adoption_pipelines"](t, d=d), "repository", "pipeline_count", digits=1)
+
+
 def queries() -> dict[str, QueryFn]:
     from cadence.plans import pull_requests as pr
     from cadence.plans import reviews as rv
-    from cadence.plans import adoption, iac, ingest_bound, releases, team, tracker
+    from cadence.plans import adoption, iac, ingest_bound, ingest_keys, releases, team, tracker
     from cadence.plans import workflows as wf
 
     q: dict[str, QueryFn] = {}
@@ -70,7 +78,16 @@ def queries() -> dict[str, QueryFn]:
     q["pivot_forward_fill"] = _metric(wf.wf_dx_runs_cumulative_wide, WORKFLOW_DAYS)
     q["zero_filled_counts"] = _metric(pr.pr_new_per_day, CALENDAR_DAYS)
     q["running_total"] = _metric(_events_running_total, anchored=False)
+    # forms that the dashboards show beside the metrics, and other periods of some of them
+    q["pr_cards"] = _metric(pr.pr_cards, PR_DAYS)
+    q["adoption_pipeline_share"] = _metric(_pipeline_share, anchored=False)
+    for name, fn in (("pr_total", pr.pr_total), ("pr_new_per_day", pr.pr_new_per_day)):
+        q[f"{name}_mid"] = _metric(fn, MID_DAYS, anchored=False, as_of=MID_AS_OF)
+    q["team_commits_daily_mid"] = _metric(team.METRICS["team_commits_daily"], MID_DAYS, anchored=False, as_of=MID_AS_OF)
+    q["team_pr_split_daily"] = _metric(team.METRICS["team_pr_split"], CALENDAR_DAYS)
     # ingest jobs and write rules
+    for name, fn in ingest_keys.JOBS.items():
+        q[name] = _metric(fn, anchored=False)
     for name, fn in ingest_bound.JOBS.items():
         q[name] = _metric(fn, anchored=False)
     return q
