@@ -10,7 +10,17 @@ import xxhash
 _K = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], dtype=np.uint64)
 #: Words whose hash a worker keeps.
 _KEEP = 200_000
-_HASHES: dict[bytes, int] = {}
+
+
+class _Hashes(dict):
+    """Hash of a word, computed once while it is kept."""
+
+    def __missing__(self, word: bytes) -> int:
+        h = self[word] = xxhash.xxh3_64_intdigest(word)
+        return h
+
+
+_HASHES = _Hashes()
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -24,14 +34,7 @@ def mix(h: np.ndarray) -> np.ndarray:
 def word_hashes(words: list[bytes]) -> np.ndarray:
     if len(_HASHES) > _KEEP:
         _HASHES.clear()
-    get = _HASHES.get
-    out = np.empty(len(words), dtype=np.uint64)
-    for i, w in enumerate(words):
-        h = get(w)
-        if h is None:
-            h = _HASHES[w] = xxhash.xxh3_64_intdigest(w)
-        out[i] = h
-    return out
+    return np.fromiter(map(_HASHES.__getitem__, words), dtype=np.uint64, count=len(words))
 
 
 def shingle_hashes(words: np.ndarray, size: int) -> np.ndarray:

@@ -54,16 +54,7 @@ def _bytes(text: str | None) -> bytes:
     return text.encode("utf-8", "surrogatepass") if text else b""
 
 
-def _count_grams(length: int, gram: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for at in range(0, len(batch), 512):
-                got = [anchors(np.frombuffer(_bytes(t), dtype=np.uint8), length, gram)[1] for t in batch["text"].iloc[at:at + 512]]
-                yield pd.DataFrame({"gram": np.concatenate(got).view(np.int64)})
-    return run
-
-
-def _place_grams(length: int, gram: int):
+def _sample(length: int, gram: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for at in range(0, len(batch), 512):
@@ -201,11 +192,10 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     version = F.xxhash64(F.coalesce("text", F.lit(""))).bitwiseAND(F.lit(0x3FFFFF)) if again else F.lit(0).cast("long")
     docs = docs.withColumn("version", version)
 
-    grams = docs.select("text").mapInPandas(_count_grams(length, gram), "gram long")
-    shared = stage(grams.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    placed = stage(docs.select("doc", "version", "text").mapInPandas(_sample(length, gram), "doc long, pos long, gram long"), "positions")
+    shared = stage(placed.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
                    .select(F.col("gram").alias("shared"), "n"), "shared-grams")
     total = shared.agg(F.sum("n")).first()[0] or 0
-    placed = docs.select("doc", "version", "text").mapInPandas(_place_grams(length, gram), "doc long, pos long, gram long")
     open_rows = stage(placed.join(shared, F.col("gram") == F.col("shared"))
                       .select("doc", "pos", "gram", F.ceil(F.col("n") / F.lit(split)).cast("int").alias("shares")), "open-positions")
     per_doc = (open_rows.groupBy(F.col("doc").alias("at"), F.shiftright("pos", 40).alias("v"))
