@@ -29,6 +29,7 @@ other columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -42,10 +43,11 @@ from cadence.llm.shingles import Links, PrefixTree, mix, rank_sets, set_name, sh
 SHINGLE = 3
 NUM, DEN = 90, 100
 #: Shingles that a block of a component may hold.
-BLOCK = 1_000_000
+BLOCK = 250_000
 _SALT = np.uint64(0x8EBC6AF09C88C6E3)
 
 
+@lru_cache
 def size_classes(num: int, den: int, upto: int) -> np.ndarray:
     """Least sizes of the classes: a set links only with sets of its own and the neighbouring classes."""
     least = [1]
@@ -54,14 +56,16 @@ def size_classes(num: int, den: int, upto: int) -> np.ndarray:
     return np.array(least, dtype=np.int64)
 
 
-def class_of(n: int, num: int, den: int) -> int:
-    return int(np.searchsorted(size_classes(num, den, n), n, side="right")) - 1
+@lru_cache(maxsize=4096)
+def part_edges(parts: int) -> np.ndarray:
+    """Bounds that cut the space of hashes into equal parts."""
+    return np.array([(k << 64) // parts for k in range(1, parts)], dtype=np.uint64)
 
 
 def part_names(members: np.ndarray, num: int, den: int) -> np.ndarray:
     """64-bit names of the parts of a sorted set, for its size class and the next."""
     n = len(members)
-    least = size_classes(num, den, n * 2 + 2)
+    least = size_classes(num, den, 1 << (2 * n + 2).bit_length())
     own = int(np.searchsorted(least, n, side="right")) - 1
     out = []
     with np.errstate(over="ignore"):
@@ -71,36 +75,24 @@ def part_names(members: np.ndarray, num: int, den: int) -> np.ndarray:
             if differ == 0:
                 continue  # sets of this class link only when they are equal
             parts = differ + 1
-            edges = np.array([(k << 64) // parts for k in range(1, parts)], dtype=np.uint64)
-            at = np.concatenate([[0], np.searchsorted(members, edges), [n]])
+            at = np.concatenate([[0], np.searchsorted(members, part_edges(parts)), [n]])
             content = sums[at[1:]] - sums[at[:-1]]
             label = np.arange(parts, dtype=np.uint64) + np.uint64(c << 32)
             out.append(mix(mix(content + np.diff(at).astype(np.uint64)) + mix(label + _SALT)))
     return np.concatenate(out).view(np.int64) if out else np.empty(0, dtype=np.int64)
 
 
-def _name_sets(size: int):
+def _sets(size: int, num: int, den: int):
+    """Size, name and part names of the set of every text."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            sets = [shingle_set(t, size) for t in batch["text"]]
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "n": [len(s) for s in sets],
-                                "node": pd.Series([set_name(s) if len(s) else None for s in sets], dtype="Int64")})
-    return run
-
-
-def _emit_parts(size: int, num: int, den: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for at in range(0, len(batch), 256):
-                nodes, names = [], []
-                for text in batch["text"].iloc[at:at + 256]:
-                    members = shingle_set(text, size)
-                    parts = part_names(members, num, den) if len(members) else members
-                    if len(parts):
-                        names.append(parts)
-                        nodes.append(np.full(len(parts), set_name(members), dtype=np.int64))
-                if names:
-                    yield pd.DataFrame({"part": np.concatenate(names), "node": np.concatenate(nodes)})
+            for at in range(0, len(batch), 512):
+                part = batch.iloc[at:at + 512]
+                sets = [shingle_set(t, size) for t in part["text"]]
+                yield pd.DataFrame({
+                    "doc_id": part["doc_id"].to_numpy(), "n": [len(s) for s in sets],
+                    "node": pd.Series([set_name(s) if len(s) else None for s in sets], dtype="Int64"),
+                    "parts": [part_names(s, num, den) if len(s) else np.empty(0, dtype=np.int64) for s in sets]})
     return run
 
 
@@ -171,8 +163,8 @@ def join_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     """doc_id, n_shingles, component_id: one row per row of ``df``; component_id is the smallest id reachable by links."""
     docs = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    named = stage(docs.mapInPandas(_name_sets(shingle), f"doc_id {id_type}, n long, node long"), "sets")
-    parts = docs.select("text").mapInPandas(_emit_parts(shingle, num, den), "part long, node long")
+    named = stage(docs.mapInPandas(_sets(shingle, num, den), f"doc_id {id_type}, n long, node long, parts array<long>"), "sets")
+    parts = named.select(F.explode("parts").alias("part"), "node")
     shared = stage(parts.groupBy("part").agg(F.min("node").alias("first"), F.max("node").alias("other"))
                    .where("first <> other").select(F.col("part").alias("shared_part"), "first"), "shared-parts")
     rough = components(parts.join(shared, F.col("part") == F.col("shared_part")).where("node <> first")
