@@ -40,16 +40,19 @@ def gram_hashes(data: np.ndarray, gram: int) -> np.ndarray:
         return mix((sums[gram:] - sums[:-gram]) * down[:n - gram + 1])
 
 
-def anchors(data: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sampled positions of a text (increasing) and the hashes of the grams there; none if it is shorter than ``length``."""
+def anchors(data: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Sampled positions of a text (increasing), the hashes of the grams there, and the first and the last start of
+    the strings of ``length`` that are sampled there; none if the text is shorter."""
     n = len(data)
     if n < length:
-        return np.empty(0, dtype=np.int64), np.empty(0, dtype=np.uint64)
+        empty = np.empty(0, dtype=np.int64)
+        return empty, empty.astype(np.uint64), empty, empty
     if n > _PIECE:
-        found = [(p + at, h) for at in range(0, n - length + 1, _PIECE - length + 1)
-                 for p, h in [anchors(data[at:at + _PIECE], length, gram)]]
-        pos, first = np.unique(np.concatenate([p for p, _ in found]), return_index=True)
-        return pos, np.concatenate([h for _, h in found])[first]
+        found = [(p + at, h, a + at, b + at) for at in range(0, n - length + 1, _PIECE - length + 1)
+                 for p, h, a, b in [anchors(data[at:at + _PIECE], length, gram)]]
+        pos, hashes, first, last = (np.concatenate(x) for x in zip(*found))
+        pos, head = np.unique(pos, return_index=True)  # one at the edge of two pieces has its starts in both
+        return pos, hashes[head], np.minimum.reduceat(first, head), np.maximum.reduceat(last, head)
     hashes = gram_hashes(data, gram)
     low = (hashes & ~_LOW) | np.arange(len(hashes), dtype=np.uint64)  # equal hashes: the leftmost is least
     width, have = length - gram + 1, 1
@@ -58,8 +61,9 @@ def anchors(data: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.nd
         low = np.minimum(low[:-step], low[step:])
         have += step
     at = (low & _LOW).astype(np.int64)
-    at = at[np.concatenate([[True], at[1:] != at[:-1]])]
-    return at, hashes[at]
+    first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
+    last = np.concatenate([first[1:], [len(at)]]) - 1
+    return at[first], hashes[at[first]], first, last
 
 
 def _dense(*keys: np.ndarray) -> np.ndarray:

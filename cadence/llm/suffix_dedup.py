@@ -4,13 +4,15 @@ A byte goes when it lies in a string of LENGTH bytes that also starts earlier: i
 a document with a smaller id, or earlier in the same one. Strings are judged on
 the input.
 
+0. A document that equals an earlier one as a whole goes at once, and takes no
+   further part: all its strings start earlier.
 1. Sampling: equal strings of LENGTH bytes share a sampled position at the same
    offset (suffix_buckets.anchors), one in about 35 bytes.
 2. Initial buckets: the GRAM bytes at a sampled position. A bucket of one holds
    no repeat and is finished; counts are combined map-side and only the buckets
    of two or more go on (job 1 and 2).
-3. Refinement: positions meet by bucket with LENGTH bytes of text after and
-   LENGTH - GRAM before them. The suffixes of a bucket are sorted by the bucket
+3. Refinement: positions meet by bucket with the text of the strings that are
+   sampled there, up to LENGTH bytes after and LENGTH - GRAM before them. The suffixes of a bucket are sorted by the bucket
    identifiers of later offsets, refined names serving again for spans of twice
    the length; prefixes likewise to the left. Every string through the position
    is then a pair of names, and its earliest occurrence is known (job 3). Names
@@ -59,28 +61,30 @@ def _sample(length: int, gram: int):
         for batch in batches:
             for at in range(0, len(batch), 512):
                 part = batch.iloc[at:at + 512]
-                docs, pos, grams = [], [], []
+                docs, pos, grams, before, after = [], [], [], [], []
                 for doc, version, text in zip(part["doc"], part["version"], part["text"]):
-                    p, h = anchors(np.frombuffer(_bytes(text), dtype=np.uint8), length, gram)
+                    p, h, first, last = anchors(np.frombuffer(_bytes(text), dtype=np.uint8), length, gram)
                     docs.append(np.full(len(p), doc, dtype=np.int64))
                     pos.append(p | (int(version) << 40))
                     grams.append(h)
-                yield pd.DataFrame({"doc": np.concatenate(docs), "pos": np.concatenate(pos), "gram": np.concatenate(grams).view(np.int64)})
+                    before.append(p - first)
+                    after.append(last + length - p)
+                yield pd.DataFrame({"doc": np.concatenate(docs), "pos": np.concatenate(pos), "gram": np.concatenate(grams).view(np.int64),
+                                    "before": np.concatenate(before).astype(np.int16), "after": np.concatenate(after).astype(np.int16)})
     return run
 
 
 def _contexts(length: int, gram: int):
-    """Rows with the text around each position that has to be refined."""
+    """Rows with the text of the strings at each position that has to be refined."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        left = length - gram
         for batch in batches:
             for doc, text, places in zip(batch["doc"], batch["text"], batch["places"]):
                 data = _bytes(text)
                 at = [p["pos"] & _POSITION for p in places]
                 yield pd.DataFrame({
                     "gram": [p["gram"] for p in places], "shares": [p["shares"] for p in places], "doc": doc,
-                    "pos": [p["pos"] for p in places], "lead": [min(left, a) for a in at],
-                    "context": [data[max(0, a - left):a + length] for a in at]})
+                    "pos": [p["pos"] for p in places], "lead": [p["before"] for p in places],
+                    "context": [data[a - p["before"]:a + p["after"]] for a, p in zip(at, places)]})
     return run
 
 
@@ -179,6 +183,20 @@ def _cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                             "spans": [[{"from": a, "to": b} for a, b in x[4]] for x in out]})
 
 
+def _later_copies(names: DataFrame) -> DataFrame:
+    """(copy, copy_version, bytes) of texts that equal the whole text of an earlier document.
+
+    All their strings start earlier there, and whatever they would be the first
+    to hold, that document holds too; so a group of copies, however large, goes
+    on as one document.
+    """
+    order = F.struct("doc", "version")
+    first = stage(names.groupBy("name").agg(F.min(order).alias("first"), F.max(order).alias("last")).where("first <> last")
+                  .select(F.col("name").alias("same"), "first"), "first-copies")
+    return (names.join(first, F.col("name") == F.col("same")).where(order != F.col("first"))
+            .select(F.col("doc").alias("copy"), F.col("version").alias("copy_version"), F.col("bytes").cast("long").alias("bytes")).distinct())
+
+
 def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM,
                    split: int = SPLIT) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept (binary: what is left), spans (removed runs): one row per row of ``df``."""
@@ -192,14 +210,26 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     version = F.xxhash64(F.coalesce("text", F.lit(""))).bitwiseAND(F.lit(0x3FFFFF)) if again else F.lit(0).cast("long")
     docs = docs.withColumn("version", version)
 
-    placed = stage(docs.select("doc", "version", "text").mapInPandas(_sample(length, gram), "doc long, pos long, gram long"), "positions")
-    shared = stage(placed.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-                   .select(F.col("gram").alias("shared"), "n"), "shared-grams")
+    whole_text = F.sha2(F.encode(F.coalesce("text", F.lit("")), "UTF-8"), 256)
+    names = stage(docs.select("doc", "version", F.octet_length(F.coalesce("text", F.lit(""))).alias("bytes"), whole_text.alias("name")), "text-names")
+    copies = stage(_later_copies(names.where(F.col("bytes") >= length)), "copies")
+
+    placed = stage(docs.select("doc", "version", "text").mapInPandas(
+        _sample(length, gram), "doc long, pos long, gram long, before short, after short"), "positions")
+
+    def shared_grams(rows: DataFrame) -> DataFrame:
+        return stage(rows.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+                     .select(F.col("gram").alias("shared"), "n"), "shared-grams")
+
+    repeated = placed.join(shared_grams(placed).select("shared"), F.col("gram") == F.col("shared"), "left_semi")
+    no_copies = stage(repeated.join(copies, (F.col("doc") == F.col("copy")) & (F.shiftright("pos", 40) == F.col("copy_version")),
+                                    "left_anti"), "positions-of-firsts")
+    shared = shared_grams(no_copies)
     total = shared.agg(F.sum("n")).first()[0] or 0
-    open_rows = stage(placed.join(shared, F.col("gram") == F.col("shared"))
-                      .select("doc", "pos", "gram", F.ceil(F.col("n") / F.lit(split)).cast("int").alias("shares")), "open-positions")
+    open_rows = stage(no_copies.join(shared, F.col("gram") == F.col("shared")).select(
+        "doc", "pos", "gram", "before", "after", F.ceil(F.col("n") / F.lit(split)).cast("int").alias("shares")), "open-positions")
     per_doc = (open_rows.groupBy(F.col("doc").alias("at"), F.shiftright("pos", 40).alias("v"))
-               .agg(F.collect_set(F.struct("pos", "gram", "shares")).alias("places")))
+               .agg(F.collect_set(F.struct("pos", "gram", "before", "after", "shares")).alias("places")))
     texts = per_doc.join(docs, (F.col("at") == F.col("doc")) & (F.col("v") == F.col("version"))).dropDuplicates(["at", "v"]) if again \
         else per_doc.join(docs, F.col("at") == F.col("doc"))
     around = texts.select("doc", "text", "places").mapInPandas(
@@ -215,7 +245,9 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         F.min(F.struct("doc", "from")).alias("first"), F.collect_list(F.struct("doc", "from")).alias("all"))
     later = (first.select("first", F.explode("all").alias("x")).where("x <> first")
              .select("x.doc", "x.from", (F.col("x.from") + F.lit(length)).alias("to")))
-    per_doc = (spans.unionByName(later).groupBy(F.col("doc").alias("at"), F.shiftright("from", 40).alias("v"))
+    copied = copies.select(F.col("copy").alias("doc"), F.shiftleft("copy_version", 40).alias("from"),
+                           (F.shiftleft("copy_version", 40) + F.col("bytes")).alias("to"))
+    per_doc = (spans.unionByName(later).unionByName(copied).groupBy(F.col("doc").alias("at"), F.shiftright("from", 40).alias("v"))
                .agg(F.collect_set(F.struct("from", "to")).alias("spans")))
     whole = docs.join(per_doc, (F.col("at") == F.col("doc")) & (F.col("v") == F.col("version")), "left")
     return whole.select("doc_id", "text", "spans").mapInPandas(

@@ -93,7 +93,7 @@ def test_equal_strings_share_an_anchor():
         at = []
         for _ in range(2):
             pre, post = rng.integers(97, 123, rng.integers(0, 200), dtype=np.uint8), rng.integers(97, 123, rng.integers(0, 200), dtype=np.uint8)
-            p, _h = anchors(np.concatenate([pre, core, post]), 100, 32)
+            p, _h, _a, _b = anchors(np.concatenate([pre, core, post]), 100, 32)
             at.append({int(x) - len(pre) for x in p if 0 <= x - len(pre) <= 68})
         assert at[0] & at[1]
 
@@ -104,7 +104,7 @@ def test_long_text_in_pieces(monkeypatch):
     whole = anchors(data, 100, 32)
     monkeypatch.setattr(B, "_PIECE", 700)
     cut = anchors(data, 100, 32)
-    assert (whole[0] == cut[0]).all() and (whole[1] == cut[1]).all()
+    assert all((x == y).all() for x, y in zip(whole, cut))
 
 
 def test_refine_sorts_and_names():
