@@ -119,7 +119,7 @@ class Model:
         self.grams, self.gram_logs = self._table(grams, "gram", gram_totals)
         most = max(totals.values(), default=1)
         self.prior = np.array([np.log(totals[x] / most) for x in self.langs], dtype=np.float32)
-        self._seen: dict[str, np.ndarray] = {}
+        self._seen: dict[str, list[int]] = {}
 
     def _table(self, rows: pd.DataFrame, key: str, totals: dict[str, int]):
         index: dict[str, int] = {}
@@ -130,15 +130,14 @@ class Model:
         size = np.array([totals.get(x, 0) for x in self.langs], dtype=np.float64)
         return index, np.log((n + SMOOTH) / (size + SMOOTH * (len(index) + 1))).astype(np.float32)
 
-    def unseen(self, word: str) -> np.ndarray:
-        """Backoff: the mean over the longest n-grams that are known."""
+    def unseen(self, word: str) -> list[int]:
+        """Backoff: the longest n-grams of the word that are known (none: empty)."""
         got = self._seen.get(word)
         if got is None:
-            got = self.prior
+            find, got = self.grams.get, []
             for k in range(min(MAX_GRAM, len(word) + 2), 0, -1):
-                at = [i for g in grams_of(word, k) if (i := self.grams.get(g)) is not None]
-                if at:
-                    got = self.gram_logs[at].mean(axis=0)
+                got = [i for g in grams_of(word, k) if (i := find(g)) is not None]
+                if got:
                     break
             if len(word) <= MAX_WORD_CHARS:
                 if len(self._seen) >= _KEEP:
@@ -150,15 +149,22 @@ class Model:
         words = Counter(words_of(text)) if text else None
         if not words or not self.langs:
             return UNKNOWN, 0.0
-        known = [(i, n) for w, n in words.items() if (i := self.words.get(w)) is not None]
-        total = np.zeros(len(self.langs))
+        known, times, grams, weights, nothing = [], [], [], [], 0
+        for w, n in words.items():
+            i = self.words.get(w)
+            if i is not None:
+                known.append(i)
+                times.append(n)
+            elif at := self.unseen(w):  # the mean over its n-grams, n times
+                grams += at
+                weights += [n / len(at)] * len(at)
+            else:
+                nothing += n
+        total = nothing * self.prior.astype(np.float64)
         if known:
-            at, n = zip(*known)
-            total += np.asarray(n, dtype=np.float64) @ self.word_logs[list(at)]
-        if len(known) < len(words):
-            for w, n in words.items():
-                if w not in self.words:
-                    total += n * self.unseen(w)
+            total += np.asarray(times, dtype=np.float64) @ self.word_logs[known]
+        if grams:
+            total += np.asarray(weights, dtype=np.float64) @ self.gram_logs[grams]
         best = int(np.argmax(total))
         mean = (total - total[best]) / sum(words.values())
         return self.langs[best], float(1 / np.exp(TEMPER * mean).sum())
