@@ -6,14 +6,17 @@ shingles (num / den = 90 / 100 by default). Sets are compared by 64-bit hashes.
 1. Texts with equal sets are one node, the name of the set.
 2. Candidates by pigeonhole: sets of up to H shingles that link differ in at
    most 2 * H * (den - num) / (den + num) shingles, so if the space of hashes is
-   cut into one part more than that, some part holds the same shingles in
-   both. A set emits a row for each part, at the number of parts of its own
+   cut into more parts than that, some parts hold the same shingles in both. The
+   number of parts leaves room for parts that are empty in both, which say
+   nothing; a set with more empty parts than that names them as well. A set emits a row for each part, at the number of parts of its own
    size class and of the next larger one. Nodes that share a part form rough
    components; a shared passage alone does not make a whole part equal, so
    they stay small, and nothing but (part, node) rows is shuffled.
 3. Every rough component is joined exactly by a prefix tree of its sets in one
    global order (shingles.PrefixTree). A component with more shingles than one
-   task should hold (BLOCK) is cut into blocks by size class and hash, and all
+   task should hold (BLOCK) is first taken apart by the prefix filter, in the
+   order of how many of its sets hold a shingle, and what is still too large is
+   cut into blocks by size class and hash, and all
    pairs of blocks whose sizes can link are joined, each by a task of its own,
    so nothing is capped. A task hands on at most one link per node, those of a
    spanning forest.
@@ -30,10 +33,11 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from functools import lru_cache
+from math import ceil, exp, sqrt
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cadence.llm.common import documents, stage
@@ -62,6 +66,22 @@ def part_edges(parts: int) -> np.ndarray:
     return np.array([(k << 64) // parts for k in range(1, parts)], dtype=np.uint64)
 
 
+@lru_cache(maxsize=4096)
+def parts_of_class(least: int, most: int, num: int, den: int) -> tuple[int, int]:
+    """(parts, spare) for sets of ``least`` to ``most`` members: linked sets differ in parts - spare parts at most, so
+    ``spare`` parts at least are equal. Some may be empty in both; spare is chosen above the number of empty parts of
+    nearly all sets, so that an equal part that is not empty remains. (0, 0): only equal sets link."""
+    differ = 2 * most * (den - num) // (den + num)
+    if differ == 0:
+        return 0, 0
+    spare = 1
+    for _ in range(3):
+        parts = differ + spare
+        empty = parts * exp(-least / parts)
+        spare = 1 + ceil(empty + 4 * sqrt(empty)) if empty > 1e-3 else 1
+    return differ + spare, spare
+
+
 def part_names(members: np.ndarray, num: int, den: int) -> np.ndarray:
     """64-bit names of the parts of a sorted set, for its size class and the next."""
     n = len(members)
@@ -71,14 +91,16 @@ def part_names(members: np.ndarray, num: int, den: int) -> np.ndarray:
     with np.errstate(over="ignore"):
         sums = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(mix(members ^ _SALT), dtype=np.uint64)])
         for c in (own, own + 1):
-            differ = 2 * (int(least[c + 1]) - 1) * (den - num) // (den + num)
-            if differ == 0:
+            parts, spare = parts_of_class(int(least[c]), int(least[c + 1]) - 1, num, den)
+            if not parts:
                 continue  # sets of this class link only when they are equal
-            parts = differ + 1
             at = np.concatenate([[0], np.searchsorted(members, part_edges(parts)), [n]])
             content = sums[at[1:]] - sums[at[:-1]]
             label = np.arange(parts, dtype=np.uint64) + np.uint64(c << 32)
-            out.append(mix(mix(content + np.diff(at).astype(np.uint64)) + mix(label + _SALT)))
+            held = np.diff(at)
+            names = mix(mix(content + held.astype(np.uint64)) + mix(label + _SALT))
+            # with fewer empty parts than equal ones, an equal part that is not empty tells; else the empty ones have to
+            out.append(names[held > 0] if (held == 0).sum() < spare else names)
     return np.concatenate(out).view(np.int64) if out else np.empty(0, dtype=np.int64)
 
 
@@ -124,6 +146,51 @@ def _join_block(size: int, num: int, den: int) -> Callable[[pd.DataFrame], pd.Da
     return run
 
 
+def _tokens(size: int):
+    """The sets of the nodes that are asked for."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for at in range(0, len(batch), 512):
+                part = batch.iloc[at:at + 512]
+                sets = [shingle_set(t, size) for t in part["text"]]
+                same = np.array([set_name(s) == node for s, node in zip(sets, part["node"])], dtype=bool)  # an id may repeat
+                out = part[["node", "comp", "n"]].assign(tokens=[s.view(np.int64) for s in sets])
+                yield out[same]
+    return run
+
+
+def _refine_large(docs: DataFrame, members: DataFrame, size: int, num: int, den: int, block: int) -> DataFrame:
+    """``members`` with rough components of over ``block`` shingles taken apart by the prefix filter.
+
+    In the order of (how many sets of the component hold it, hash), two sets that
+    link share a shingle among the first n - ceil(num / den * n) + 1 of each. Rare
+    shingles come first, so a passage that many sets share hardly ever links them.
+    """
+    large = members.groupBy("comp").agg(F.sum("n").alias("all_n")).where(F.col("all_n") > block).select(F.col("comp").alias("large"))
+    large = stage(large, "large-components")
+    big = stage(members.join(large, F.col("comp") == F.col("large")).select("node", F.col("doc_id").alias("placed_id"), "n", "comp"), "large-members")
+    small = members.join(large, F.col("comp") == F.col("large"), "left_anti")
+    sets = stage(big.join(docs, F.col("placed_id") == F.col("doc_id")).select("node", "comp", "n", "text")
+                 .mapInPandas(_tokens(size), "node long, comp long, n long, tokens array<long>"), "large-sets")
+    each = sets.select("node", "comp", "n", F.explode("tokens").alias("token"))
+    shared = stage(each.groupBy("comp", "token").agg(F.count(F.lit(1)).alias("held")).where("held > 1")
+                   .select(F.col("comp").alias("c"), F.col("token").alias("t"), "held"), "shared-shingles")
+    of_node = Window.partitionBy("node")
+    ranked = each.join(shared, (F.col("comp") == F.col("c")) & (F.col("token") == F.col("t"))).select(
+        "node", "comp", "n", "token", F.count(F.lit(1)).over(of_node).alias("common"),
+        F.row_number().over(of_node.orderBy("held", "token")).alias("rank"))
+    alone = F.col("n") - F.col("common")  # shingles that no other set has come first
+    length = F.col("n") - F.expr(f"(n * {num} + {den - 1}) div {den}") + F.lit(1)
+    prefix = stage(ranked.where(F.col("rank") <= length - alone).select("node", "comp", "token"), "prefixes")
+    firsts = stage(prefix.groupBy("comp", "token").agg(F.min("node").alias("first"), F.max("node").alias("other"))
+                   .where("first <> other").select(F.col("comp").alias("c"), F.col("token").alias("t"), "first"), "prefix-shingles")
+    roots = components(prefix.join(firsts, (F.col("comp") == F.col("c")) & (F.col("token") == F.col("t")))
+                       .where("node <> first").select("node", "first").distinct())
+    roots = roots.select(F.col("node").alias("member"), "root")
+    apart = big.join(roots, F.col("node") == F.col("member")).select("node", F.col("placed_id").alias("doc_id"), "n", F.col("root").alias("comp"))
+    return stage(small.select("node", "doc_id", "n", "comp").unionByName(apart), "refined-members")
+
+
 def _blocks(members: DataFrame, num: int, den: int, block: int) -> DataFrame:
     """(doc_id, comp, block pair, side): where each node's text goes. Small components are one block."""
     sizes = members.groupBy("comp").agg(F.sum("n").alias("all_n"))
@@ -171,7 +238,7 @@ def join_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
                        .select("node", "first").distinct())
     nodes = named.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"))
     members = stage(nodes.join(rough.select("node", F.col("root").alias("comp")), "node"), "members")
-    placed = _blocks(members, num, den, block)
+    placed = _blocks(_refine_large(docs, members, shingle, num, den, block), num, den, block)
     texts = placed.withColumnRenamed("doc_id", "placed_id").join(docs, F.col("placed_id") == F.col("doc_id"))
     links = texts.groupBy("comp", "c1", "b1", "c2", "b2").applyInPandas(_join_block(shingle, num, den), "a long, b long")
     roots = components(stage(links, "set-links"))
