@@ -59,7 +59,7 @@ def _tokenise(path: str):
         for batch in batches:
             ids, before, n = [], [], []
             for queue, text in zip(batch["queue"], batch["text"]):
-                data = (enc.encode(text) if text else b"") + end
+                data = (enc.encode_added(text) if text else b"") + end
                 at = served.get(queue, 0)
                 ids.append(data)
                 before.append(at)

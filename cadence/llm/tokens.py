@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import base64
+import json
+import os
 import re
 
 import numpy as np
@@ -24,6 +26,15 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
+def read_added(path: str) -> dict[str, int]:
+    """Added tokens of the tokenizer file beside a rank file, which stand for themselves wherever a text holds them."""
+    beside = os.path.splitext(path)[0] + ".json"
+    if not os.path.exists(beside):
+        return {}
+    with open(beside, encoding="utf-8") as f:
+        return {t["content"]: t["id"] for t in json.load(f).get("added_tokens", [])}
+
+
 class WordEncoder:
     """Text to ids as little-endian unsigned 16-bit integers.
 
@@ -33,10 +44,11 @@ class WordEncoder:
     """
 
     def __init__(self, path: str):
-        ranks = read_ranks(path)
-        if max(ranks.values()) >= 1 << 16:
+        ranks, self._added = read_ranks(path), read_added(path)
+        if max([*ranks.values(), *self._added.values()]) >= 1 << 16:
             raise ValueError("ids do not fit 16 bits")
         self._bpe = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self._cut = re.compile("(" + "|".join(map(re.escape, sorted(self._added, key=len, reverse=True))) + ")") if self._added else None
         self._cache: dict[str, bytes] = {}
 
     def _ids(self, text: str) -> bytes:
@@ -57,6 +69,13 @@ class WordEncoder:
         out += [get(w) or miss(w) for w in words[1:]]
         return b"".join(out)
 
+    def encode_added(self, text: str) -> bytes:
+        """As ``encode``, with the ids of added tokens: the call of the tokenizer file without further special tokens."""
+        if self._cut is None or not self._cut.search(text):
+            return self.encode(text)
+        return b"".join(np.asarray([self._added[part]], dtype="<u2").tobytes() if k % 2 else self.encode(part)
+                        for k, part in enumerate(self._cut.split(text)))
+
 
 def encoder(path: str) -> WordEncoder:
     """The worker's encoder of this vocabulary."""

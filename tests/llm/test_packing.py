@@ -100,3 +100,15 @@ def test_empty_and_clashing_columns(docs_of):
     assert pack(docs_of([])).count() == 0
     df = docs_of([(1, "a b")]).selectExpr("*", "1 as queue", "2 as n", "3 as ids", "4 as task", "5 as base")
     assert pack(df).count() == 1
+
+
+ADDED = ["a <|endoftext|> b", "<|endoftext|>", "<|endoftext|><|endoftext|>  x", "x\n<|endoftext|>\n y ", "a<|endoftext|>b <|endoftext| > c"]
+
+
+def test_added_token_as_tokenizers_by_default(docs_of):
+    plain = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    enc = encoder(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    for text in TEXTS + ADDED:
+        assert np.frombuffer(enc.encode_added(text), "<u2").tolist() == plain.encode(text, add_special_tokens=False).ids, text
+    rows = [(i, t, "en", "s") for i, t in enumerate(ADDED)]
+    check(rows, pack(docs_of(rows)).collect(), plain, 1024)
