@@ -12,7 +12,9 @@ Because the deficits are plain arithmetic, nothing is replayed: what queue k
 has been served after w windows of a phase is a closed form, so each document
 finds its place from its position in its queue alone, and deficits carry
 across windows, tasks and machines. Positions come from token sums per (queue,
-input task); the driver sees MAX_QUEUES numbers.
+input task). Every source is a queue; shares are a running sum over sources, joined
+to the documents by source. Only with explicit targets the driver sees totals, one
+for each target given.
 
 Sequences have exactly SEQUENCE tokens but for the last one, so nearly nothing
 is padded.
@@ -41,8 +43,6 @@ from cadence.llm.tokens import encoder
 SEQUENCE = 1024
 #: Tokens in which the target proportions hold.
 WINDOW = 64 * SEQUENCE
-#: Queues of their own; further sources share the queue OTHER.
-MAX_QUEUES = 64
 OTHER = "*"
 #: Id at the end of a document.
 END = 0
@@ -131,13 +131,16 @@ def place(phases: list[dict], queue: str, x: int, n: int, window: int, sequence:
             return
 
 
-def _cut(phases: list[dict], window: int, sequence: int):
+def _cut(phases: list[dict] | None, window: int, sequence: int):
+    """Pieces of the documents; without ``phases`` there is one phase, and each row has its share of it."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
-            for doc_id, queue, x, n, ids in zip(batch["doc_id"], batch["queue"], batch["x"], batch["n"], batch["ids"]):
+            shares = zip(batch["low"], batch["high"], batch["total"])
+            for doc_id, queue, x, n, ids, (low, high, total) in zip(batch["doc_id"], batch["queue"], batch["x"], batch["n"], batch["ids"], shares):
                 wide = np.frombuffer(ids, dtype="<u2").astype("<u4").tobytes()
-                for start, length, y, w in place(phases, queue, int(x), int(n), window, sequence):
+                plan = [{"at": 0, "length": int(total), "queues": {queue: (0, int(low), int(high))}}] if phases is None else phases
+                for start, length, y, w in place(plan, queue, int(x), int(n), window, sequence):
                     rows.append((doc_id, start, length, zlib.crc32(wide[4 * start:4 * (start + length)]), n,
                                  y // sequence, y % sequence, queue, w))
             yield pd.DataFrame(rows, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id",
@@ -158,24 +161,27 @@ def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_c
     path = vocabulary or public_tokenizers.path("byte_bpe_50k.tiktoken")
     docs = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"),
                      F.col(source_col).cast("string").alias("source"))
+    queue = F.coalesce("source", F.lit(OTHER))
     if targets:
-        named = sorted(targets)[:MAX_QUEUES]
-    else:  # the sources with most bytes, MAX_QUEUES - 1 rows at most
-        top = (docs.where("source is not null").groupBy("source")
-               .agg(F.sum(F.octet_length(F.coalesce("text", F.lit("")))).alias("bytes"))
-               .orderBy(F.desc("bytes"), "source").limit(MAX_QUEUES - 1))
-        named = [r.source for r in top.collect()]
-    docs = docs.withColumn("queue", F.when(F.col("source").isin(named), F.col("source")).otherwise(F.lit(OTHER)))
+        named = df.sparkSession.createDataFrame([(q,) for q in sorted(targets)], "target string")
+        docs = docs.join(F.broadcast(named), F.col("source") == F.col("target"), "left")
+        queue = F.coalesce("target", F.lit(OTHER))
+    docs = docs.withColumn("queue", queue)
     id_type = docs.schema["doc_id"].dataType.simpleString()
     tokens = stage(docs.select("doc_id", "queue", "text").mapInPandas(
         _tokenise(path), f"doc_id {id_type}, queue string, task int, before long, n long, ids binary"), "token-ids")
     cells = tokens.groupBy("queue", "task").agg(F.sum("n").alias("n_cell"))
     earlier = Window.partitionBy("queue").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
     cells = stage(cells.select("queue", "task", "n_cell", F.coalesce(F.sum("n_cell").over(earlier), F.lit(0)).alias("base")), "cells")
-    totals = {r.queue: int(r.n) for r in cells.groupBy("queue").agg(F.sum("n_cell").alias("n")).collect()}
-    phases = schedule(totals, targets)
-    placed = tokens.join(cells.select("queue", "task", "base"), ["queue", "task"])
-    return placed.select("doc_id", "queue", (F.col("base") + F.col("before")).alias("x"), "n", "ids").mapInPandas(
+    totals = cells.groupBy("queue").agg(F.sum("n_cell").alias("n"))
+    phases = schedule({r.queue: int(r.n) for r in totals.collect()}, targets) if targets else None
+    upto = Window.orderBy("queue").rowsBetween(Window.unboundedPreceding, 0)  # one row a source
+    every = Window.orderBy("queue").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    shares = totals.select(F.col("queue").alias("of"), (F.sum("n").over(upto) - F.col("n")).alias("low"),
+                           F.sum("n").over(upto).alias("high"), F.sum("n").over(every).alias("total"))
+    places = stage(cells.join(shares, F.col("queue") == F.col("of")).select("queue", "task", "base", "low", "high", "total"), "shares")
+    placed = tokens.join(places, ["queue", "task"])
+    return placed.select("doc_id", "queue", (F.col("base") + F.col("before")).alias("x"), "n", "ids", "low", "high", "total").mapInPandas(
         _cut(phases, window, sequence), PIECE.format(id=id_type))
 
 

@@ -112,3 +112,24 @@ def test_added_token_as_tokenizers_by_default(docs_of):
         assert np.frombuffer(enc.encode_added(text), "<u2").tolist() == plain.encode(text, add_special_tokens=False).ids, text
     rows = [(i, t, "en", "s") for i, t in enumerate(ADDED)]
     check(rows, pack(docs_of(rows)).collect(), plain, 1024)
+
+
+def test_hundreds_of_sources_and_targets(docs_of, hf):
+    rng = random.Random(9)
+    rows = [(i, "one two three four " * (1 + i % 3), "en", f"s{rng.randrange(150):03}") for i in range(3000)]
+    out = pack(docs_of(rows), sequence=256, window=2048).collect()
+    check(rows, out, hf, 256)
+    total, window = Counter(), defaultdict(Counter)
+    for r in out:
+        total[r.queue] += r.length
+        window[r.window_id][r.queue] += r.length
+    assert set(total) == {r[3] for r in rows} and len(total) == 150
+    n = sum(total.values())
+    full = [c for c in window.values() if sum(c.values()) == 2048]
+    assert full and all(abs(c[q] - 2048 * total[q] / n) < 2 for c in full for q in total)
+    wanted = {f"s{k:03}": 3.0 if k >= 100 else 1.0 for k in range(150)}
+    first = Counter()
+    for r in pack(docs_of(rows), sequence=125, window=250, targets=wanted).collect():
+        if r.window_id == 0:
+            first[r.queue] += r.length
+    assert all(abs(first[q] - 250 * w / 250) < 2 for q, w in wanted.items())
