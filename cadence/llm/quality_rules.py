@@ -4,13 +4,16 @@ Four ratios of a text (mean word length, symbols per word, repeated lines per
 line, words in repeated windows per word) are compared with fences of their
 own population, language and source, in place of fixed cutoffs:
 
-    upper fence = median + REACH * spread      (at least median + slack)
-    lower fence = median - REACH * spread      (word length only)
+    word length: median - REACH * spread ... median + REACH * spread
+    the others:  upper quantile + REACH * (upper quantile - upper quartile), at most
 
 with spread = the smaller of median - lower quartile and upper quartile -
-median, so that junk on one side cannot widen the fence. For texts with fewer
-words than the median text the spread grows with the square root of the ratio,
-as the error of a mean does.
+median (at least SLACK), so that junk on one side cannot widen the fence. The
+others are zero in most texts, so their median and quartiles say nothing; the
+quantile UPPER does, and stands as long as junk is a smaller part than 1 -
+UPPER. Their fence leaves room for FLOOR counts in the text at hand (at most
+SLACK). For texts with fewer words than the median text the spreads grow with
+the square root of the ratio, as the error of a mean does.
 
 The quartiles come from sketches of log-sized buckets (relative error
 ACCURACY): a sketch is a table of bucket counts, so it merges by adding counts,
@@ -41,9 +44,12 @@ ACCURACY = 0.01
 #: Fences lie so many spreads from the median.
 REACH = 8.0
 MIN_GROUP = 200
-#: Least distance of the upper fence from the median, by ratio.
+#: Least distance of the word-length fences from the median; for the other ratios the most that FLOOR may allow.
 SLACK = {"word_length": 0.5, "symbol_ratio": 0.1, "dup_line_ratio": 0.35, "repeat_ratio": 0.15}
 QUARTILES = (0.25, 0.5, 0.75)
+UPPER = 0.9
+#: Counts that any text may have, and what they are counted against: one symbol, one repeated line, one phrase of ten words twice.
+FLOOR = {"symbol_ratio": (1, "n_words"), "dup_line_ratio": (1, "n_lines"), "repeat_ratio": (20, "n_words")}
 
 _GAMMA = (1 + ACCURACY) / (1 - ACCURACY)
 _ZERO = -(1 << 30)
@@ -110,25 +116,26 @@ def quantiles(sketches: DataFrame, groups: list[str], at: tuple[float, ...] = QU
 
 
 def thresholds(measured: DataFrame) -> DataFrame:
-    """lang, source and a struct {n, q_0, q_1, q_2} per ratio, from the smallest population that is large enough."""
+    """lang, source and a struct {n, q_0, q_1, q_2, q_3} per ratio, from the smallest population that is large enough."""
     passed = measured.where(~F.col("base_failed"))
     fine = stage(sketch(passed, ["lang", "source"], _METRICS), "sketches")
-    stats = F.struct("n", "q_0", "q_1", "q_2")
+    at = (*QUARTILES, UPPER)
+    stats = F.struct("n", *[f"q_{i}" for i in range(len(at))])
 
     def table(sk: DataFrame, groups: list[str], prefix: str) -> DataFrame:
-        per = quantiles(sk, groups)
+        per = quantiles(sk, groups, at)
         return per.groupBy(*groups).agg(*[F.max(F.when(F.col("metric") == m, stats)).alias(prefix + m) for m in _METRICS])
 
     by_source = table(fine, ["lang", "source"], "s_")
     by_lang = table(merge(fine, ["lang"]), ["lang"], "l_").withColumnRenamed("lang", "l_lang")
-    overall = {r.metric: r for r in quantiles(merge(fine, []), []).collect()}  # one row a ratio
+    overall = {r.metric: r for r in quantiles(merge(fine, []), [], at).collect()}  # one row a ratio
     joined = by_source.join(by_lang, F.col("lang").eqNullSafe(F.col("l_lang")), "left")
 
     def pick(m: str) -> Column:
         out = F.when(F.col(f"s_{m}.n") >= MIN_GROUP, F.col(f"s_{m}")).when(F.col(f"l_{m}.n") >= MIN_GROUP, F.col(f"l_{m}"))
         if m in overall:
             r = overall[m]
-            out = out.otherwise(F.struct(F.lit(r.n).alias("n"), *[F.lit(r[f"q_{i}"]).alias(f"q_{i}") for i in range(3)]))
+            out = out.otherwise(F.struct(F.lit(r.n).alias("n"), *[F.lit(r[f"q_{i}"]).alias(f"q_{i}") for i in range(len(at))]))
         return out.alias(f"t_{m}")
 
     return joined.select("lang", "source", *[pick(m) for m in _METRICS])
@@ -142,9 +149,14 @@ def judge(measured: DataFrame, limits: DataFrame) -> DataFrame:
     fences, inside = {}, ~F.col("base_failed")
     for m, slack in SLACK.items():
         t = F.col(f"t_{m}")
-        spread = F.least(t["q_1"] - t["q_0"], t["q_2"] - t["q_1"])
-        reach = F.greatest(F.lit(slack), F.lit(REACH) * spread) * wide
-        fences[f"{m}_max"] = t["q_1"] + reach
+        if m == "word_length":
+            spread = F.least(t["q_1"] - t["q_0"], t["q_2"] - t["q_1"])
+            reach = F.greatest(F.lit(slack), F.lit(REACH) * spread) * wide
+            fences[f"{m}_max"] = t["q_1"] + reach
+        else:
+            counts, length = FLOOR[m]
+            least = F.least(F.lit(slack), F.lit(counts) / F.greatest(F.col(length), F.lit(1)))
+            fences[f"{m}_max"] = F.when(t.isNotNull(), F.greatest(least, t["q_3"] + F.lit(REACH) * (t["q_3"] - t["q_2"]) * wide))
         inside = inside & F.coalesce(F.col(m) <= fences[f"{m}_max"], F.lit(True))
         if m == "word_length":
             fences[f"{m}_min"] = t["q_1"] - reach

@@ -120,3 +120,22 @@ def test_separates_labelled_documents(spark):
     out = Q.op1_adaptive_quality_rules(spark, d).join(spark.read.parquet(f"{d}/labels.parquet"), "doc_id")
     r = out.selectExpr("avg(if(quality = 1 and n_words >= 10, int(kept), null)) as good", "avg(if(quality = 0, int(kept), null)) as bad").first()
     assert r.good > 0.95 and r.bad < 0.15
+
+
+def test_language_and_source_decide_for_ratios_that_are_mostly_zero(docs_of):
+    rng = random.Random(7)
+
+    def text(symbols, repeats=0):
+        w = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(3, 7))) for _ in range(100)]
+        for k in rng.sample(range(100), symbols):
+            w[k] += "#"
+        return " ".join(w + w[:repeats])
+
+    rows = [(i, text(0), "en", "clean") for i in range(300)] + [(1000 + i, text(8), "en", "clean") for i in range(5)]
+    rows += [(2000 + i, text(i % 6), "en", "code") for i in range(300)] + [(3000 + i, text(8), "en", "code") for i in range(5)]
+    rows += [(4000, text(1), "en", "clean"), (4001, text(0, 9), "en", "clean"), (4002, text(0, 5), "en", "clean")]
+    out = {r.doc_id: r for r in Q.apply_rules(docs_of(rows)).collect()}
+    assert not any(out[1000 + i].kept for i in range(5)) and all(out[3000 + i].kept for i in range(5))
+    assert all(out[i].kept for i in [*range(300), *range(2000, 2300)])
+    assert out[4000].kept and out[4002].kept
+    assert out[4001].repeat_ratio > out[4001].repeat_ratio_max
