@@ -1,15 +1,16 @@
 """Language identification by words first, character n-grams for the rest.
 
 Model: how often each word occurs in each language, counted over all learning
-rows. The most frequent words (MAX_WORDS at most) are known words; the n-grams
-of all words, with a mark at either end and of 1 to MAX_GRAM characters,
-weighted by the words' counts, are the fallback (MAX_GRAMS at most). Both
-bounds are parameters of the model, chosen by a count threshold, and make it
-fit a worker; the counts behind them cover all rows.
+rows, and the n-grams of all words, with a mark at either end and of 1 to
+MAX_GRAM characters, weighted by the words' counts, as the fallback. Both are
+tables. Workers hold all of both when there are no more than MAX_WORDS and
+MAX_GRAMS; else the most frequent words, and all other words of the texts are
+looked up in the tables by a join, each distinct word once, so the bounds do
+not change an answer.
 
 Score of a text: the sum over its words of the log frequency in each language.
-A known word gives its own; an unknown one the mean over its longest n-grams
-that the model has, falling back from MAX_GRAM to 1. The answer is the language
+A word that was learned gives its own; an unknown one the mean over its longest n-grams
+that were learned, falling back from MAX_GRAM to 1. The answer is the language
 with the highest sum (ties: alphabetical), the score its share under a softmax
 of the mean log frequency per word times TEMPER.
 
@@ -28,6 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -96,6 +98,8 @@ def _count_grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def _most_frequent(counts: DataFrame, key: str, most: int) -> pd.DataFrame:
     """Counts by language of at most ``most`` keys: those at or above a count that so many reach."""
+    if not most:
+        return pd.DataFrame(columns=[key, "lang", "n"])
     totals = counts.groupBy(key).agg(F.sum("n").alias("total"))
     levels = totals.groupBy(F.floor(F.log(F.col("total").cast("double")) * 8).alias("level")).agg(F.count(F.lit(1)).alias("keys"))
     least, room = None, most
@@ -113,22 +117,35 @@ def _most_frequent(counts: DataFrame, key: str, most: int) -> pd.DataFrame:
 class Model:
     """Log frequencies of known words and n-grams by language."""
 
-    def __init__(self, words: pd.DataFrame, grams: pd.DataFrame, totals: dict[str, int], gram_totals: dict[str, int]):
+    def __init__(self, words: pd.DataFrame, grams: pd.DataFrame, totals: dict[str, int], gram_totals: dict[str, int],
+                 n_words: int | None = None, n_grams: int | None = None, tables: tuple[DataFrame, DataFrame] | None = None):
+        """``n_words`` and ``n_grams`` count all that were learned, which ``tables`` (lang, word or gram, n) hold."""
+        self.n_words = words["word"].nunique() if n_words is None else n_words
+        self.n_grams = grams["gram"].nunique() if n_grams is None else n_grams
+        self.totals, self.gram_totals, self.tables = totals, gram_totals, tables
         self.langs = sorted(totals)
-        self.words, self.word_logs = self._table(words, "word", totals)
-        self.grams, self.gram_logs = self._table(grams, "gram", gram_totals)
+        self.words, self.word_logs = self._table(words, "word", totals, self.n_words)
+        self.grams, self.gram_logs = self._table(grams, "gram", gram_totals, self.n_grams)
         most = max(totals.values(), default=1)
         self.prior = np.array([np.log(totals[x] / most) for x in self.langs], dtype=np.float32)
         self._seen: dict[str, list[int]] = {}
 
-    def _table(self, rows: pd.DataFrame, key: str, totals: dict[str, int]):
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"tables": None}  # workers have the literal part only
+
+    @property
+    def whole(self) -> bool:
+        """Whether all learned words and n-grams are in the literal part."""
+        return len(self.words) == self.n_words and len(self.grams) == self.n_grams
+
+    def _table(self, rows: pd.DataFrame, key: str, totals: dict[str, int], distinct: int):
         index: dict[str, int] = {}
         at = [index.setdefault(k, len(index)) for k in rows[key]]
         lang = {x: i for i, x in enumerate(self.langs)}
         n = np.zeros((len(index), len(self.langs)), dtype=np.float64)
         np.add.at(n, (at, [lang[x] for x in rows["lang"]]), rows["n"].to_numpy(float))
         size = np.array([totals.get(x, 0) for x in self.langs], dtype=np.float64)
-        return index, np.log((n + SMOOTH) / (size + SMOOTH * (len(index) + 1))).astype(np.float32)
+        return index, np.log((n + SMOOTH) / (size + SMOOTH * (distinct + 1))).astype(np.float32)
 
     def unseen(self, word: str) -> list[int]:
         """Backoff: the longest n-grams of the word that are known (none: empty)."""
@@ -165,8 +182,11 @@ class Model:
             total += np.asarray(times, dtype=np.float64) @ self.word_logs[known]
         if grams:
             total += np.asarray(weights, dtype=np.float64) @ self.gram_logs[grams]
+        return self.answer(total, sum(words.values()))
+
+    def answer(self, total: np.ndarray, n: int) -> tuple[str, float]:
         best = int(np.argmax(total))
-        mean = (total - total[best]) / sum(words.values())
+        mean = (total - total[best]) / n
         return self.langs[best], float(1 / np.exp(TEMPER * mean).sum())
 
 
@@ -180,8 +200,81 @@ def learn(rows: DataFrame, max_words: int = MAX_WORDS, max_grams: int = MAX_GRAM
                   .groupBy("lang", "gram").agg(F.sum("n").alias("n")), "gram-counts")
     totals = {r.lang: int(r.n) for r in words.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
     gram_totals = {r.lang: int(r.n) for r in grams.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
-    return Model(_most_frequent(words.where(F.length("word") <= MAX_WORD_CHARS), "word", max_words),
-                 _most_frequent(grams, "gram", max_grams), totals, gram_totals)
+    short = words.where(F.length("word") <= MAX_WORD_CHARS)
+    n_words, n_grams = (t.select(k).distinct().count() for t, k in ((short, "word"), (grams, "gram")))
+    fits = n_words <= max_words and n_grams <= max_grams  # else n-grams are looked up in their table
+    return Model(_most_frequent(short, "word", max_words), _most_frequent(grams, "gram", max_grams if fits else 0), totals, gram_totals,
+                 n_words, n_grams, (short, grams))
+
+
+def _grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """word, k, gram, times: the n-grams of each word."""
+    for batch in batches:
+        rows = []
+        for word in batch["word"]:
+            rows += [(word, k, g, n) for k in range(1, min(MAX_GRAM, len(word) + 2) + 1) for g, n in Counter(grams_of(word, k)).items()]
+            if len(rows) > _GATHER:
+                yield pd.DataFrame(rows, columns=["word", "k", "gram", "times"])
+                rows = []
+        yield pd.DataFrame(rows, columns=["word", "k", "gram", "times"])
+
+
+def _log_columns(counts: DataFrame, key: str, langs: list[str], totals: dict[str, int], distinct: int) -> DataFrame:
+    """key and l_0, l_1, ...: the log frequency in each language."""
+    per = counts.groupBy(key).agg(*[F.coalesce(F.sum(F.when(F.col("lang") == x, F.col("n"))), F.lit(0)).alias(f"n_{i}") for i, x in enumerate(langs)])
+    return per.select(key, *[F.log((F.col(f"n_{i}") + F.lit(SMOOTH)) / F.lit(totals.get(x, 0) + SMOOTH * (distinct + 1))).alias(f"l_{i}")
+                             for i, x in enumerate(langs)])
+
+
+def _looked_up(words: DataFrame, model: Model) -> DataFrame:
+    """word, l_0, l_1, ... of distinct words from the tables: learned words, else their longest learned n-grams. Words without any are left out."""
+    logs = [f"l_{i}" for i in range(len(model.langs))]
+    known, grams = model.tables
+    found = stage(_log_columns(known.join(words, "word", "left_semi"), "word", model.langs, model.totals, model.n_words), "learned-words")
+    parts = stage(words.join(found, "word", "left_anti").mapInPandas(_grams, "word string, k int, gram string, times long"), "word-grams")
+    asked = _log_columns(grams.join(parts.select("gram").distinct(), "gram", "left_semi"), "gram", model.langs, model.gram_totals, model.n_grams)
+    means = parts.join(asked, "gram").groupBy("word", "k").agg(*[(F.sum(F.col("times") * F.col(x)) / F.sum("times")).alias(x) for x in logs])
+    longest = means.groupBy("word").agg(F.max_by(F.struct(*logs), "k").alias("x")).select("word", "x.*")
+    return stage(found.unionByName(longest), "looked-up")
+
+
+def _predict_by_join(src: DataFrame, model: Model, id_type: str) -> DataFrame:
+    """As ``Model.predict`` of a whole model: words outside the literal part are looked up in the tables."""
+    shared = src.sparkSession.sparkContext.broadcast(model)
+
+    def literal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        m, row = shared.value, TaskContext.get().partitionId() << 33
+        for batch in batches:
+            totals, sizes, rest = [], [], []
+            for text in batch["text"]:
+                words = Counter(words_of(text)) if text else {}
+                at = {w: m.words[w] for w in words if w in m.words}
+                total = np.zeros(len(m.langs))
+                if at:
+                    total += np.array([words[w] for w in at], dtype=np.float64) @ m.word_logs[list(at.values())]
+                totals.append(total)
+                sizes.append(sum(words.values()))
+                rest.append([{"word": w, "times": n} for w, n in words.items() if w not in at])
+            yield pd.DataFrame({"row": np.arange(row, row + len(batch)), "doc_id": batch["doc_id"], "held_out": batch["held_out"],
+                                "total": totals, "size": sizes, "rest": rest})
+            row += len(batch)
+
+    def finish(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        m = shared.value
+        for batch in batches:
+            out = [m.answer(np.asarray(t) + (0 if more is None else np.asarray(more)), n) if n else (UNKNOWN, 0.0)
+                   for t, more, n in zip(batch["total"], batch["more"], batch["size"])]
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "held_out": batch["held_out"],
+                                "lang_pred": [x[0] for x in out], "score": [x[1] for x in out]})
+
+    rows = stage(src.mapInPandas(literal, f"row long, doc_id {id_type}, held_out boolean, total array<double>, size long, "
+                                          "rest array<struct<word:string,times:long>>"), "literal-scores")
+    each = rows.select("row", F.explode("rest").alias("x")).select("row", "x.word", "x.times")
+    scores = _looked_up(stage(each.select("word").distinct(), "other-words"), model)
+    more = each.join(scores, "word", "left").groupBy(F.col("row").alias("of")).agg(F.array(*[
+        F.sum(F.col("times") * F.coalesce(f"l_{i}", F.lit(float(p)))) for i, p in enumerate(model.prior)]).alias("more"))
+    return rows.join(more, F.col("row") == F.col("of"), "left").select("doc_id", "held_out", "total", "size", "more").mapInPandas(
+        finish, f"doc_id {id_type}, held_out boolean, lang_pred string, score double")
 
 
 def held_out(doc_id: Column) -> Column:
@@ -190,8 +283,11 @@ def held_out(doc_id: Column) -> Column:
 
 
 def predict(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, held_out, lang_pred, score. The model goes to the workers once, as a broadcast of bounded size."""
+    """doc_id, held_out, lang_pred, score. The literal part of the model goes to the workers once, as a broadcast of bounded size."""
     src = df.select(F.col(id_col).alias("doc_id"), held_out(F.col(id_col)).alias("held_out"), F.col(text_col).alias("text"))
+    id_type = src.schema["doc_id"].dataType.simpleString()
+    if model.langs and not model.whole:
+        return _predict_by_join(src, model, id_type)
     shared = df.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -201,7 +297,6 @@ def predict(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
             yield pd.DataFrame({"doc_id": batch["doc_id"], "held_out": batch["held_out"],
                                 "lang_pred": [x[0] for x in out], "score": [x[1] for x in out]})
 
-    id_type = src.schema["doc_id"].dataType.simpleString()
     return src.mapInPandas(run, f"doc_id {id_type}, held_out boolean, lang_pred string, score double")
 
 

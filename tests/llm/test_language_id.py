@@ -77,3 +77,20 @@ def test_edges(spark, docs_of):
     assert L.predict(empty, L.learn(empty)).count() == 0
     assert {r.lang_pred for r in L.predict(docs, L.learn(empty)).collect()} == {"und"}
     assert docs.where(L.held_out(F.col("doc_id"))).count() >= 0
+
+
+def test_bounds_do_not_change_answers(spark, docs_of):
+    rows = [(i, "the cat sat here", "en") for i in range(30)] + [(50 + i, "der hund saß dort", "de") for i in range(20)]
+    rows += [(100, "der hund", None), (101, "xhundx der catty", None), (102, "жжж", None), (103, "12", None), (103, None, None), (None, "hund", None)]
+    docs = docs_of(rows)
+    learned = docs.select("text", "lang")
+    small = L.learn(learned, max_words=4, max_grams=10)
+    assert not small.whole
+    got, want = ({(r.doc_id, r.score == 0): r for r in L.predict(docs, m).collect()} for m in (small, L.learn(learned)))
+    assert got.keys() == want.keys() and got[100, False].lang_pred == "de"
+    for k, r in want.items():
+        assert (got[k].lang_pred, got[k].held_out) == (r.lang_pred, r.held_out) and math.isclose(got[k].score, r.score, rel_tol=1e-3, abs_tol=1e-6)
+    some = spark.read.parquet(f"{D}/documents.parquet").limit(300)
+    models = L.learn(some.select("text", "lang"), 500, 500), L.learn(some.select("text", "lang"))
+    a, b = ({r.doc_id: (r.lang_pred, round(r.score, 3)) for r in L.predict(some, m).collect()} for m in models)
+    assert a == b
