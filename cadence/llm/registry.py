@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cadence.llm import (byte_bpe, exact_dedup, jaccard_join, language_id, packing, passages, quality_classifier, quality_rules,
+from cadence.llm import (byte_bpe, exact_dedup, jaccard_join, language_id, merkle, packing, passages, quality_classifier, quality_rules,
                          sharding, suffix_dedup)
 
 
@@ -18,6 +18,7 @@ def queries():
         "op10_mixture_packing": packing.op10_mixture_packing,
         "op7_word_backoff_langid": language_id.op7_word_backoff_langid,
         "op8_jump_hash_sharding": sharding.op8_jump_hash_sharding,
+        "op12_merkle_manifest": merkle.op12_merkle_manifest,
     }
 
 
@@ -25,4 +26,5 @@ def oracle_sql():
     return {
         "op6_block_naming_dedup": exact_dedup.ORACLE_SQL,
         "op9_prefix_tree_jaccard": jaccard_join.ORACLE_SQL,
+        "op12_merkle_manifest": merkle.ORACLE_SQL,
     }
