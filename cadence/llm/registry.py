@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from cadence.llm import (byte_bpe, exact_dedup, jaccard_join, language_id, merkle, packing, passages, quality_classifier, quality_rules,
-                         sharding, suffix_dedup)
+from cadence.llm import (byte_bpe, exact_dedup, jaccard_join, language_id, merkle, packing, passages, periodic_runs, quality_classifier,
+                         quality_rules, sharding, suffix_dedup)
 
 
 def queries():
@@ -19,6 +19,7 @@ def queries():
         "op7_word_backoff_langid": language_id.op7_word_backoff_langid,
         "op8_jump_hash_sharding": sharding.op8_jump_hash_sharding,
         "op12_merkle_manifest": merkle.op12_merkle_manifest,
+        "op13_periodic_runs": periodic_runs.op13_periodic_runs,
     }
 
 
@@ -27,4 +28,5 @@ def oracle_sql():
         "op6_block_naming_dedup": exact_dedup.ORACLE_SQL,
         "op9_prefix_tree_jaccard": jaccard_join.ORACLE_SQL,
         "op12_merkle_manifest": merkle.ORACLE_SQL,
+        "op13_periodic_runs": periodic_runs.ORACLE_SQL,
     }

@@ -77,13 +77,15 @@ def _part_runner(keys: list[str], values: dict[str, tuple[str, str]], schema: pa
     return run
 
 
-def running(df: DataFrame, keys: list[str], order: list[str], values: dict[str, tuple[str, str]], label: str) -> DataFrame:
+def running(df: DataFrame, keys: list[str], order: list[str], values: dict[str, tuple[str, str]], label: str,
+            nth: str | None = None) -> DataFrame:
     """``df`` with, for each name of ``values``, what the rows of the same keys above a row come to.
 
     ``values`` maps a new column to (column, "sum" or "xor"); the column "*"
     counts rows. Columns hold integers without nulls. ``order`` has to be total
     but for rows that are the same in all columns that count. Null keys are
-    equal. ``df`` is read twice (for the bounds of the parts), so it should be
+    equal. ``nth`` names a column that numbers all rows in their order, with
+    gaps. ``df`` is read twice (for the bounds of the parts), so it should be
     a written table.
     """
     spark = df.sparkSession
@@ -92,6 +94,9 @@ def running(df: DataFrame, keys: list[str], order: list[str], values: dict[str,
     by = [F.col(c).asc_nulls_first() for c in [*keys, *order]]
     parted = (df.repartitionByRange(parts, *by) if parts > 1 else df.coalesce(1)).sortWithinPartitions(*by)
     parted = parted.withColumn("_part", F.spark_partition_id())
+    if nth:
+        parted = parted.withColumn(nth, F.monotonically_increasing_id())
+    columns = [*df.columns, *([nth] if nth else []), *values]
     schema = StructType([*parted.schema.fields, *(StructField(name, LongType()) for name in values)])
     done = stage(parted.mapInArrow(_part_runner(list(keys), values, None), schema), label)
     if parts == 1:
@@ -113,4 +118,4 @@ def running(df: DataFrame, keys: list[str], order: list[str], values: dict[str,
     for name, (_, how) in values.items():
         up = F.coalesce(f"_up_{name}", F.lit(0))
         new[name] = F.col(name) + up if how == "sum" else F.col(name).bitwiseXOR(up)
-    return joined.withColumns(new).select(*df.columns, *values)
+    return joined.withColumns(new).select(*columns)
