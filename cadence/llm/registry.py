@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cadence.llm import (byte_bpe, exact_dedup, jaccard_join, language_id, merkle, packing, passages, periodic_runs, quality_classifier,
+from cadence.llm import (byte_bpe, chat_format, exact_dedup, jaccard_join, language_id, merkle, packing, passages, periodic_runs, quality_classifier,
                          quality_rules, sharding, suffix_dedup)
 
 
@@ -18,6 +18,7 @@ def queries():
         "op10_mixture_packing": packing.op10_mixture_packing,
         "op7_word_backoff_langid": language_id.op7_word_backoff_langid,
         "op8_jump_hash_sharding": sharding.op8_jump_hash_sharding,
+        "op11_chat_prefix_tree": chat_format.op11_chat_prefix_tree,
         "op12_merkle_manifest": merkle.op12_merkle_manifest,
         "op13_periodic_runs": periodic_runs.op13_periodic_runs,
     }
@@ -27,6 +28,7 @@ def oracle_sql():
     return {
         "op6_block_naming_dedup": exact_dedup.ORACLE_SQL,
         "op9_prefix_tree_jaccard": jaccard_join.ORACLE_SQL,
+        "op11_chat_prefix_tree": chat_format.ORACLE_SQL,
         "op12_merkle_manifest": merkle.ORACLE_SQL,
         "op13_periodic_runs": periodic_runs.ORACLE_SQL,
     }

@@ -28,7 +28,7 @@ def compare(spark):
         df = queries()[name](spark, SMALL)
         cols = sorted(df.columns)
         con = duckdb.connect()
-        for t in ("documents", "labels", "benchmark"):
+        for t in ("documents", "labels", "benchmark", "conversations"):
             con.execute(f"create view {t} as select * from read_parquet('{SMALL}/{t}.parquet')")
         rel = con.sql(oracle_sql()[name])
         assert cols == sorted(rel.columns)
