@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cadence.functions.numeric import clamp_min, round_half_up
+from cadence.operators.ordinal import join_null_safe, ranked_cells
 
 
 def trend_stats(points: DataFrame, keys, x: str, y: str, degenerate: str = "zero") -> DataFrame:
@@ -57,8 +58,29 @@ def trend_line(points: DataFrame, keys, x: str, y: str, degenerate: str = "zero"
             "intercept", F.avg(ys).over(w) - F.col("slope") * F.avg(xs).over(w)
         )
         return with_stats.withColumn(name, fitted).drop("slope", "intercept")
-    stats = trend_stats(points, keys, x, y, degenerate)
-    return points.join(stats, keys, "inner").withColumn(name, fitted).drop("slope", "intercept", "n")
+    stats = trend_stats(points, keys, x, y, degenerate).drop("n")
+    return points.join(stats, keys, "inner").withColumn(name, fitted).drop("slope", "intercept")
+
+
+def ordinal_trend_line(df: DataFrame, keys, day: str, number: str, y: str, digits: int = 2, floor=None,
+                       name: str = "trend_line") -> DataFrame:
+    """Fitted value of every row over its ordinal in its key, by ``day``, then ``number`` (T-02); slope 0 for one row.
+    Rows without ``y`` are no points and drop.
+
+    The ordinal comes from counting cells (:func:`ranked_cells`), which add up
+    the moments of the line as well: the rows are shuffled once and meet one row
+    of their cell. The sums of x need no rows, as x runs from 1 to n. ``y`` must
+    not be NULL.
+    """
+    keys = [keys] if isinstance(keys, str) else list(keys)
+    rows, cells = ranked_cells(df, keys, day, number, F.col(y).cast("double"))
+    n, sum_y = F.col("__n"), F.col("__y")
+    xbar, spread = (n + 1.0) / 2.0, n * (n * n - 1.0) / 12.0
+    slope = F.coalesce(F.try_divide(F.col("__xy") - xbar * sum_y, spread), F.lit(0.0))
+    lines = cells.select(*keys, day, "__cell", "__before", slope.alias("__slope"), (sum_y / n - slope * xbar).alias("__at0"))
+    out = join_null_safe(rows, lines, [*keys, day, "__cell"])
+    fitted = round_half_up(F.col("__slope") * (F.col("__before") + F.col("__rank")).cast("double") + F.col("__at0"), digits)
+    return out.withColumn(name, clamp_min(fitted, float(floor)) if floor is not None else fitted).select(*df.columns, name)
 
 
 def trend_change_pct(points: DataFrame, keys, x: str, y: str, digits: int = 2,

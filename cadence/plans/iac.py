@@ -11,10 +11,10 @@ from pyspark.sql import functions as F
 
 from cadence.config import DEFAULTS, SUPERVISED_LABEL, UNSUPERVISED_LABEL, Defaults
 from cadence.functions import elapsed_seconds, not_draft, round_half_up, to_day, to_week
+from cadence.functions.predicates import since
 from cadence.operators.calendar import daily_running_total
-from cadence.operators.ordinal import row_ordinal, row_ordinal_window
-from cadence.operators.period import latest_anchor, resolve_as_of, trailing_period, with_anchor
-from cadence.operators.trend import trend_line
+from cadence.operators.period import latest_anchor, resolve_as_of, with_anchor
+from cadence.operators.trend import ordinal_trend_line
 from cadence.plans.common import REPO, all_repos
 from cadence.sources.tables import Tables
 
@@ -34,20 +34,26 @@ def iac_anchor(t: Tables, as_of=None, d: Defaults = DEFAULTS, **_) -> DataFrame:
     )
 
 
-def _anchored(t: Tables, as_of, d: Defaults) -> DataFrame:
-    """Rows with the anchor of their repository; a repository with rows needs no list of all repositories."""
-    rows = _iac(t).where(F.col("title") != d.excluded_title)
-    return with_anchor(rows, latest_anchor(_iac(t), REPO, ["created_at", "merged_at"], as_of, "max_date"), REPO, "max_date")
+def _in_period(t: Tables, ts: str, days: int, as_of, d: Defaults) -> DataFrame:
+    """Rows whose ``ts`` lies in the period before the anchor of their repository, without the excluded title.
+
+    The table is read for the anchors and for the rows. Where it is derived, both
+    readings share the shuffles of the derivation as long as no filter
+    reaches into one of them; so the conditions, which hold for few rows less
+    than all, are one value beside the anchor (``coalesce`` keeps the optimizer
+    from moving parts of it down or inferring others).
+    """
+    rows = with_anchor(_iac(t), latest_anchor(_iac(t), REPO, ["created_at", "merged_at"], as_of, "max_date"), REPO, "max_date")
+    holds = (F.col("title") != d.excluded_title) & since(ts, F.col("max_date"), days) & F.col("created_at").isNotNull()
+    return rows.where(F.coalesce(holds, F.lit(False)))
 
 
 def _merged(t: Tables, days: int, as_of, d: Defaults) -> DataFrame:
-    r = trailing_period(_anchored(t, as_of, d), "merged_at", days, anchor="max_date")
-    return r.where(F.col("created_at").isNotNull() & F.col("merged_at").isNotNull())
+    return _in_period(t, "merged_at", days, as_of, d)
 
 
 def _created(t: Tables, days: int, as_of, d: Defaults) -> DataFrame:
-    r = trailing_period(_anchored(t, as_of, d), "created_at", days, anchor="max_date")
-    return r.where(F.col("created_at").isNotNull())
+    return _in_period(t, "created_at", days, as_of, d)
 
 
 def iac_lead_time_weekly(t: Tables, days: int = 120, as_of=None, d: Defaults = DEFAULTS) -> DataFrame:
@@ -56,21 +62,16 @@ def iac_lead_time_weekly(t: Tables, days: int = 120, as_of=None, d: Defaults = D
     )
 
 
-def iac_lead_time_trend(t: Tables, days: int = 120, as_of=None, d: Defaults = DEFAULTS,
-                        skew_safe: bool = True) -> DataFrame:
+def iac_lead_time_trend(t: Tables, days: int = 120, as_of=None, d: Defaults = DEFAULTS) -> DataFrame:
     """Least-squares line over single PRs, x = ordinal by creation day (ties by
-    PR number), clamped at 0 (T-02). The ordinal is computed skew-safe unless
-    ``skew_safe=False``."""
+    PR number), clamped at 0 (T-02)."""
     pts = _merged(t, days, as_of, d).select(
         REPO,
         "pr_number",
         to_day("created_at").alias("date"),
         (elapsed_seconds("created_at", "merged_at") / DAY).alias("lead_time_days"),
     )
-    rank = row_ordinal if skew_safe else row_ordinal_window
-    pts = rank(pts, REPO, ["date", "pr_number"], name="x")
-    out = trend_line(pts, REPO, "x", "lead_time_days", degenerate="zero", digits=2, floor=0)
-    return out.select(REPO, "pr_number", "date", "trend_line")
+    return ordinal_trend_line(pts, REPO, "date", "pr_number", "lead_time_days", digits=2, floor=0).drop("lead_time_days")
 
 
 def _with_pr(t: Tables, df: DataFrame) -> DataFrame:
