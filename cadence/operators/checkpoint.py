@@ -7,9 +7,11 @@ still pending, are joins against that state — no row is updated in place.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cadence.operators.ordinal import join_null_safe
+
 LOG_SCHEMA = "run_id string, entity_type string, repository_id int, since_date timestamp_ntz, status string, at timestamp_ntz"
 DONE, RUNNING, FAILED, INTERRUPTED = "done", "running", "failed", "interrupted"
 
@@ -64,28 +66,41 @@ def clean_stale(log: DataFrame, at) -> DataFrame:
     )
 
 
+def with_coverage(requested: DataFrame, log: DataFrame, name: str = "covered") -> DataFrame:
+    """``requested`` with a flag: a finished run of the entity began no later than the requested since and ended
+    no earlier (X-02). A NULL entity or since (a bad date) is never covered.
+
+    Instead of comparing a request with every run before it (a range join), the
+    latest end of all runs that began up to the requested since is looked up: runs and
+    requests are sorted together, and a running maximum of the ends goes over them.
+    Runs and requests are cut by entity and month; months before count by
+    their maximum alone, so no task sorts more than a month of an entity.
+    """
+    done = run_state(log).where(
+        (F.col("status") == DONE) & F.col("since_date").isNotNull() & F.col("completed_at").isNotNull() & F.col("entity_type").isNotNull())
+    runs = done.groupBy(F.col("entity_type").alias("__k"), F.col("since_date").alias("__s")).agg(F.max("completed_at").alias("__c"))
+    asked = requested.select(F.struct(*requested.columns).alias("__row"), F.col("entity_type").alias("__k"), F.col("since_date").alias("__s"))
+    none = F.lit(None)
+    both = runs.withColumn("__row", none.cast(asked.schema["__row"].dataType)).withColumn("__asks", F.lit(0)).unionByName(
+        asked.withColumns({"__c": none.cast("timestamp_ntz"), "__asks": F.lit(1)}))
+    both = both.withColumn("__month", F.trunc(F.col("__s").cast("date"), "month")).repartition("__k", "__month")
+    upto = Window.partitionBy("__k", "__month").orderBy("__s", "__asks").rowsBetween(Window.unboundedPreceding, 0)
+    both = both.withColumn("__here", F.max("__c").over(upto))
+    months = both.groupBy("__k", "__month").agg(F.max("__c").alias("__latest"))
+    earlier = Window.partitionBy("__k").orderBy("__month").rowsBetween(Window.unboundedPreceding, -1)
+    months = months.withColumn("__before", F.max("__latest").over(earlier)).drop("__latest")
+    placed = join_null_safe(both.where("__asks = 1"), months, ["__k", "__month"])
+    covered = F.coalesce(F.greatest("__here", "__before") >= F.col("__s"), F.lit(False)) & F.col("__k").isNotNull()
+    return placed.select(*[F.col("__row").getField(c).alias(c) for c in requested.columns], covered.alias(name))
+
+
 def done_already(requested: DataFrame, log: DataFrame) -> DataFrame:
-    """Requested items covered by a finished run: status done, started no later
-    than the requested since and completed after it (X-02). An item whose
-    since is NULL (a bad date) is never covered."""
-    s = run_state(log).where(
-        (F.col("status") == DONE) & F.col("since_date").isNotNull() & F.col("completed_at").isNotNull()
-    ).select(F.col("entity_type").alias("__k"), F.col("since_date").alias("__s"), F.col("completed_at").alias("__c"))
-    cond = (
-        (F.col("entity_type") == F.col("__k"))
-        & (F.col("__s") <= F.col("since_date"))
-        & (F.col("__c") >= F.col("since_date"))
-    )
-    return requested.join(s, cond, "left_semi")
+    """Requested items covered by a finished run (X-02)."""
+    return with_coverage(requested, log, "__covered").where("__covered").drop("__covered")
 
 
 def pending_work(requested: DataFrame, log: DataFrame, force: bool = False) -> DataFrame:
-    """Requested minus done, unless forced (X-05)."""
+    """Requested minus done, unless forced (X-05); requests that repeat stay as often as they come."""
     if force:
         return requested
-    done = done_already(requested, log)
-    cond = None
-    for c in requested.columns:
-        eq = requested[c].eqNullSafe(done[c])
-        cond = eq if cond is None else cond & eq
-    return requested.join(done, cond, "left_anti")
+    return with_coverage(requested, log, "__covered").where("not __covered").drop("__covered")

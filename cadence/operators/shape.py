@@ -45,8 +45,9 @@ def top_k(df: DataFrame, keys, order: list[Column], k: int) -> DataFrame:
 def first_per_key(df: DataFrame, keys, order: list[Column], cols: list[str]) -> DataFrame:
     """One row per key: the values of the first row in ``order`` (O-03, O-04).
 
-    ``min_by`` on a struct of the order keys is a partial aggregate — no sort of
-    the raw rows, and a hot key is reduced on the map side.
+    ``min_by`` on a struct of the order keys: each task sorts its rows by key and
+    reduces them, so a hot key is one row per task before the shuffle.
+    :func:`cadence.operators.latest.latest_per_key` does without the sort.
     """
     keys = [keys] if isinstance(keys, str) else list(keys)
     payload = F.struct(*[F.col(c) for c in cols])

@@ -47,17 +47,11 @@ def trend_line(points: DataFrame, keys, x: str, y: str, degenerate: str = "zero"
     fitted = round_half_up(F.col("slope") * F.col(x).cast("double") + F.col("intercept"), digits)
     if floor is not None:
         fitted = clamp_min(fitted, float(floor))
-    if not keys:
-        # one series (e.g. days of one tracker): the points are an aggregate
-        # bounded by the calendar, so whole-set window statistics need no join
-        w = Window.partitionBy()
-        xs, ys = F.col(x).cast("double"), F.col(y).cast("double")
-        raw = F.regr_slope(ys, xs).over(w)
-        slope = F.coalesce(raw, F.lit(0.0)) if degenerate == "zero" else raw
-        with_stats = points.withColumn("slope", slope).withColumn(
-            "intercept", F.avg(ys).over(w) - F.col("slope") * F.avg(xs).over(w)
-        )
-        return with_stats.withColumn(name, fitted).drop("slope", "intercept")
+    if not keys:  # one series: its line is one row, a scalar beside the points
+        line = trend_stats(points, [], x, y, degenerate).select(F.struct("slope", "intercept").alias("line")).scalar()
+        fit = points.withColumn("__line", line)
+        value = round_half_up(F.col("__line.slope") * F.col(x).cast("double") + F.col("__line.intercept"), digits)
+        return fit.withColumn(name, clamp_min(value, float(floor)) if floor is not None else value).drop("__line")
     stats = trend_stats(points, keys, x, y, degenerate).drop("n")
     return points.join(stats, keys, "inner").withColumn(name, fitted).drop("slope", "intercept")
 
@@ -65,7 +59,6 @@ def trend_line(points: DataFrame, keys, x: str, y: str, degenerate: str = "zero"
 def ordinal_trend_line(df: DataFrame, keys, day: str, number: str, y: str, digits: int = 2, floor=None,
                        name: str = "trend_line") -> DataFrame:
     """Fitted value of every row over its ordinal in its key, by ``day``, then ``number`` (T-02); slope 0 for one row.
-    Rows without ``y`` are no points and drop.
 
     The ordinal comes from counting cells (:func:`ranked_cells`), which add up
     the moments of the line as well: the rows are shuffled once and meet one row

@@ -38,7 +38,7 @@ def release_summary(versions: DataFrame, module: str = "module_name", provider:
     """Per (module, provider, major): first version in numeric order, its publish
     date, number of versions, last version (I-10).
 
-    One partial aggregate (``min_by`` / ``max_by`` on the order struct); ties in
+    One sort aggregate with map-side reduction (``min_by`` / ``max_by`` on the order struct); ties in
     numeric order fall back to the text and then the date so the pick is total.
     Majors whose first version has no date are skipped, as are versions without
     ``N.``.

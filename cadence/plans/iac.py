@@ -13,6 +13,8 @@ from cadence.config import DEFAULTS, SUPERVISED_LABEL, UNSUPERVISED_LABEL, Defau
 from cadence.functions import elapsed_seconds, not_draft, round_half_up, to_day, to_week
 from cadence.functions.predicates import since
 from cadence.operators.calendar import daily_running_total
+from cadence.operators.means import bucket_mean
+from cadence.operators.membership import membership_counts, with_membership
 from cadence.operators.period import latest_anchor, resolve_as_of, with_anchor
 from cadence.operators.trend import ordinal_trend_line
 from cadence.plans.common import REPO, all_repos
@@ -57,9 +59,8 @@ def _created(t: Tables, days: int, as_of, d: Defaults) -> DataFrame:
 
 
 def iac_lead_time_weekly(t: Tables, days: int = 120, as_of=None, d: Defaults = DEFAULTS) -> DataFrame:
-    return _merged(t, days, as_of, d).groupBy(REPO, to_week("merged_at").alias("week")).agg(
-        round_half_up(F.avg(elapsed_seconds("created_at", "merged_at")) / DAY, 2).alias("avg_lead_time_days")
-    )
+    return bucket_mean(_merged(t, days, as_of, d), REPO, "merged_at", elapsed_seconds("created_at", "merged_at"), "week", DAY,
+                       name="avg_lead_time_days")
 
 
 def iac_lead_time_trend(t: Tables, days: int = 120, as_of=None, d: Defaults = DEFAULTS) -> DataFrame:
@@ -86,8 +87,8 @@ def iac_supervised_cumulative(t: Tables, days: int = 120, as_of=None, d: Default
     """Running daily total of supervised vs unsupervised PRs: supervised when the
     author or the merger is a team member (P-19); NULLs fall to unsupervised."""
     j = _with_pr(t, _created(t, days, as_of, d)).where(not_draft("draft"))
-    team = list(d.team)
-    cls = F.when(F.col("author").isin(team) | F.col("merged_by").isin(team), F.lit(SUPERVISED_LABEL)).otherwise(
+    j = with_membership(j, t.need("dx_team_members"), ["author", "merged_by"])
+    cls = F.when(F.col("is_member_author") | F.col("is_member_merged_by"), F.lit(SUPERVISED_LABEL)).otherwise(
         F.lit(UNSUPERVISED_LABEL)
     )
     out = daily_running_total(j.withColumn("pr_type", cls), REPO, "created_at", "pr_type")
@@ -103,21 +104,15 @@ def iac_count_weekly(t: Tables, days: int = 120, as_of=None, d: Defaults = DEFAU
 def iac_by_member(t: Tables, days: int = 120, as_of=None, d: Defaults = DEFAULTS) -> DataFrame:
     """Per team member — as author, or as merger other than the author — PRs,
     merged PRs and mean lead days (O-05, P-20, O-06, A-06, A-10)."""
-    team = list(d.team)
     base = _with_pr(t, _created(t, days, as_of, d)).select(
         REPO, "pr_number", "author", "created_at", "merged_at", "merged_by"
     ).distinct()
-    as_author = F.when(F.col("author").isin(team), F.col("author"))
-    as_merger = F.when(F.col("merged_by").isin(team) & (F.col("merged_by") != F.col("author")), F.col("merged_by"))
-    expanded = base.select(
-        REPO, "created_at", "merged_at", F.explode(F.array(as_author, as_merger)).alias("member")
-    ).where(F.col("member").isNotNull())
     secs = F.when(F.col("merged_at").isNotNull(), elapsed_seconds("created_at", "merged_at"))
-    return expanded.groupBy(REPO, F.col("member").alias("reviewer")).agg(
+    return membership_counts(base, t.need("dx_team_members"), ["author", "merged_by"], REPO, [
         F.count(F.lit(1)).alias("total_prs"),
         F.count_if(F.col("merged_at").isNotNull()).alias("merged_prs"),
         round_half_up(F.avg(secs) / DAY, 2).alias("avg_lead_time_days"),
-    )
+    ], name="reviewer")
 
 
 METRICS = {

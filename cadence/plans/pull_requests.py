@@ -14,6 +14,7 @@ from cadence.config import DEFAULTS, Defaults
 from cadence.functions import elapsed_seconds, not_draft, not_in, round_half_up, to_day, to_grain, to_week
 from cadence.operators.calendar import open_per_day, zero_filled_counts
 from cadence.operators.calendar import running_total, calendar
+from cadence.operators.means import bucket_mean
 from cadence.operators.period import resolve_as_of, trailing_period
 from cadence.operators.shape import size_buckets, top_k
 from cadence.operators.trend import trend_line
@@ -82,9 +83,8 @@ def pr_cards(t: Tables, days: int = 120, as_of=None, d: Defaults = DEFAULTS) ->
 
 
 def pr_lead_time_weekly(t: Tables, days: int = 120, as_of=None, d: Defaults = DEFAULTS) -> DataFrame:
-    return _merged_base(t, days, as_of, d).groupBy(REPO, to_week("merged_at").alias("week")).agg(
-        round_half_up(F.avg(elapsed_seconds("created_at", "merged_at")) / DAY, 2).alias("avg_lead_time_days")
-    )
+    return bucket_mean(_merged_base(t, days, as_of, d), REPO, "merged_at", elapsed_seconds("created_at", "merged_at"), "week", DAY,
+                       name="avg_lead_time_days")
 
 
 def pr_lead_time_trend(t: Tables, days: int = 120, as_of=None, d: Defaults = DEFAULTS) -> DataFrame:
@@ -136,16 +136,12 @@ def pr_new_cumulative(t: Tables, days: int = 120, as_of=None, d: Defaults = DEFA
 
 def pr_size_weekly(t: Tables, days: int = 120, as_of=None, d: Defaults = DEFAULTS) -> DataFrame:
     p = trailing_period(_prs(t), "created_at", days, as_of).where(F.col("additions").isNotNull())
-    return p.groupBy(REPO, to_week("created_at").alias("week")).agg(
-        round_half_up(F.avg("additions"), 2).alias("avg_additions")
-    )
+    return bucket_mean(p, REPO, "created_at", "additions", "week", name="avg_additions")
 
 
 def pr_comments_weekly(t: Tables, days: int = 120, as_of=None, d: Defaults = DEFAULTS) -> DataFrame:
     p = trailing_period(_prs(t), "created_at", days, as_of)
-    return p.groupBy(REPO, to_week("created_at").alias("week")).agg(
-        round_half_up(F.avg("total_comments_count"), 2).alias("avg_comments")
-    )
+    return bucket_mean(p, REPO, "created_at", "total_comments_count", "week", name="avg_comments")
 
 
 def pr_comments_by_size_weekly(t: Tables, days: int = 120, as_of=None, d: Defaults = DEFAULTS) -> DataFrame:

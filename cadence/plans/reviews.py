@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cadence.config import DEFAULTS, Defaults
-from cadence.functions import elapsed_seconds, not_draft, not_in, round_half_up, to_week
+from cadence.functions import elapsed_seconds, not_draft, not_in, round_half_up
+from cadence.operators.means import bucket_mean
 from cadence.operators.period import trailing_period
 from cadence.operators.related import first_related, last_related
 from cadence.plans.common import REPO, per_repo_card, with_repo
@@ -44,11 +45,7 @@ def review_avg_time_to_first(t: Tables, days: int = 120, as_of=None, d: Defaults
 def review_time_to_first_weekly(t: Tables, days: int = 120, as_of=None, d: Defaults = DEFAULTS) -> DataFrame:
     """The same per creation week; the period is on created_at here."""
     p = _with_first_review(_prs(t, "created_at", days, as_of, d), t)
-    return p.groupBy(REPO, to_week("created_at").alias("week")).agg(
-        round_half_up(F.avg(elapsed_seconds("created_at", "first_review_at")) / HOUR, 2).alias(
-            "avg_hours_to_first_review"
-        )
-    )
+    return bucket_mean(p, REPO, "created_at", elapsed_seconds("created_at", "first_review_at"), "week", HOUR, name="avg_hours_to_first_review")
 
 
 def review_avg_time_to_merge(t: Tables, days: int = 120, as_of=None, d: Defaults = DEFAULTS,
@@ -64,9 +61,7 @@ def review_avg_time_to_merge(t: Tables, days: int = 120, as_of=None, d: Defaults
 def review_time_to_merge_weekly(t: Tables, days: int = 120, as_of=None, d: Defaults = DEFAULTS,
                                 nulls: str = "reference") -> DataFrame:
     p = _with_last_approval(_prs(t, "merged_at", days, as_of, d), t, nulls)
-    return p.groupBy(REPO, to_week("merged_at").alias("week")).agg(
-        round_half_up(F.avg(elapsed_seconds("last_approval_at", "merged_at")) / HOUR, 2).alias("avg_hours_to_merge")
-    )
+    return bucket_mean(p, REPO, "merged_at", elapsed_seconds("last_approval_at", "merged_at"), "week", HOUR, name="avg_hours_to_merge")
 
 
 def _reviews_in_period(t: Tables, days: int, as_of, d: Defaults) -> DataFrame:

@@ -15,18 +15,12 @@ from pyspark.sql import functions as F
 from cadence.config import DEFAULTS, Defaults
 from cadence.functions import not_draft, split_part, to_day, to_grain
 from cadence.operators.calendar import stepped_week_calendar
+from cadence.operators.membership import member_names, membership_split
 from cadence.operators.period import trailing_period
 from cadence.plans.common import REPO, all_repos, with_repo
 from cadence.sources.tables import Tables
 
 
-def _members(t: Tables) -> DataFrame:
-    """Distinct team usernames with a membership flag (a small dimension)."""
-    return t.need("dx_team_members").select(F.col("username").alias("__member")).distinct().withColumn(
-        "__is_member", F.lit(True)
-    )
-
-
 def team_pr_split(t: Tables, days: int = 120, as_of=None, d: Defaults = DEFAULTS,
                   complete_calendar: bool = False) -> DataFrame:
     """Per day (per Monday week from the grain switch): PRs by team members and
@@ -35,11 +29,8 @@ def team_pr_split(t: Tables, days: int = 120, as_of=None, d: Defaults = DEFAULTS
     Membership is a left join to the team table (a flag), so both IN and NOT IN
     are one aggregate."""
     p = trailing_period(with_repo(t.need("pull_requests"), t), "created_at", days, as_of).where(not_draft())
-    flagged = p.join(_members(t), F.col("author") == F.col("__member"), "left")
-    counts = flagged.groupBy(REPO, to_grain("created_at", days, d.grain_switch_days).alias("date")).agg(
-        F.sum(F.when(F.col("__is_member"), 1).otherwise(0)).alias("dx_pr"),
-        F.sum(F.when(F.col("author").isNotNull() & F.col("__is_member").isNull(), 1).otherwise(0)).alias("non_dx_pr"),
-    )
+    grain = to_grain("created_at", days, d.grain_switch_days).alias("date")
+    counts = membership_split(p, t.need("dx_team_members"), "author", [REPO, grain], inside="dx_pr", outside="non_dx_pr")
     cal = stepped_week_calendar(all_repos(t), days, as_of, d.grain_switch_days, "date", complete_calendar)
     return cal.join(counts, [REPO, "date"], "left").select(
         REPO,
@@ -57,8 +48,7 @@ def team_pr_table(t: Tables, days: int = 120, as_of=None, d: Defaults = DEFAULTS
 
 def _member_commits(t: Tables, days: int, as_of) -> DataFrame:
     c = trailing_period(t.need("commits"), "committer_date", days, as_of)
-    m = _members(t).select("__member")
-    c = c.join(m, F.col("author") == F.col("__member"), "left_semi")
+    c = c.join(member_names(t.need("dx_team_members")), F.col("author") == F.col("__member"), "left_semi")
     return c.withColumn("organization", split_part("repository_full_name", "/", 1))
 
 

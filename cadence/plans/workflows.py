@@ -28,6 +28,7 @@ from cadence.functions.predicates import since
 from cadence.operators.period import latest_anchor, resolve_as_of, trailing_period
 from cadence.operators.shape import pivot_forward_fill, rate_by
 from cadence.plans.common import REPO, all_repos, per_repo_card, with_repo
+from cadence.sources.slices import sliced_period
 from cadence.sources.tables import Tables
 
 MINUTE = 60.0
@@ -35,7 +36,8 @@ MINUTE = 60.0
 
 def _latest(t: Tables, as_of) -> DataFrame:
     """Latest run start per repository id: one row a repository leaves each task, names come later."""
-    return latest_anchor(t.need("workflow_runs"), "repository_id", "created_at", as_of, "max_date")
+    runs = t.need("workflow_runs").where(F.col("repository_id").isNotNull())
+    return latest_anchor(runs, "repository_id", "created_at", as_of, "max_date")
 
 
 def wf_anchor(t: Tables, as_of=None, d: Defaults = DEFAULTS, **_) -> DataFrame:
@@ -52,12 +54,18 @@ def _anchored(t: Tables, as_of, ts: str, days: int) -> DataFrame:
     No repository's period begins before the earliest anchor minus ``days``:
     that bound, a scalar, is a filter on the scan of the runs, so files of older
     runs are skipped; the repository's own period is tested on what is left.
+    Runs that are stored in slices are pruned by repository and month instead,
+    so one stale repository opens its own old files only.
     """
-    latest = _latest(t, as_of)
-    floor = latest.agg(F.min("max_date")).scalar()
-    runs = t.need("workflow_runs").where(F.col(ts) >= floor - F.make_dt_interval(F.lit(days)))
+    stored = t.sliced.get(("workflow_runs", ts))
+    if stored is not None:
+        rows = sliced_period(stored, days, resolve_as_of(as_of), upper=stored.anchor != ts)
+    else:
+        latest = _latest(t, as_of)
+        floor = latest.agg(F.min("max_date")).scalar()
+        runs = t.need("workflow_runs").where(F.col(ts) >= floor - F.make_dt_interval(F.lit(days)))
+        rows = runs.join(latest, "repository_id", "inner").where(since(ts, F.col("max_date"), days))
     w = t.need("workflows").select(F.col("id").alias("workflow_id"), "name", "pipeline")
-    rows = runs.join(latest, "repository_id", "inner").where(since(ts, F.col("max_date"), days))
     return with_repo(rows.join(w, "workflow_id", "inner"), t)
 
 

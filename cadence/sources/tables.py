@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, fields
+from dataclasses import dataclass, field, fields
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Stored columns; tables are read with these schemas, never inferred.
 SCHEMAS = {
@@ -59,6 +60,8 @@ class Tables:
     dx_team_members: DataFrame | None = None
     config: DataFrame | None = None
     sync_runs: DataFrame | None = None
+    #: Facts stored in slices (``sources/slices.py``) by table and time column; metrics prefer them to the table.
+    sliced: dict = field(default_factory=dict)
 
     def need(self, name: str) -> DataFrame:
         df = getattr(self, name)
@@ -67,7 +70,7 @@ class Tables:
         return df
 
     def names(self) -> list[str]:
-        return [f.name for f in fields(self) if getattr(self, f.name) is not None]
+        return [f.name for f in fields(self) if f.name != "sliced" and getattr(self, f.name) is not None]
 
 
 def read_tables(spark: SparkSession, root: str, names=TABLE_NAMES, missing_ok: bool = False) -> Tables:
@@ -92,6 +95,34 @@ def write_tables(tables: Tables, root: str, mode: str = "overwrite") -> None:
         tables.need(name).write.mode(mode).parquet(f"{root.rstrip('/')}/{name}")
 
 
+def replace_partitions(batch: DataFrame, path: str, part_keys) -> DataFrame:
+    """Replace in place the partitions of the table at ``path`` whose ``part_keys`` occur in ``batch`` (K-04, K-05).
+
+    A dynamic partition overwrite: partitions that the batch does not touch keep
+    their files, and an empty batch changes nothing. The batch is rebalanced by
+    partition, so a partition has few files and a large one several writers.
+    ``batch`` must not read the table itself. A batch against no table makes it.
+    """
+    part_keys = [part_keys] if isinstance(part_keys, str) else list(part_keys)
+    rows = batch.hint("rebalance", *[F.col(k) for k in part_keys])
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*part_keys).parquet(path)
+    return read_partitions(batch, path)
+
+
+def read_partitions(like: DataFrame, path: str) -> DataFrame:
+    """The stored table with the columns and types of ``like`` (partition values are not guessed from folder names)."""
+    return like.sparkSession.read.schema(like.schema).parquet(path).select(*like.columns)
+
+
+def replace_all(batch: DataFrame, path: str) -> bool:
+    """Replace the whole table at ``path`` unless the batch is empty (K-06): an import without rows must not wipe a
+    table. Returns whether it was replaced."""
+    if batch.isEmpty():
+        return False
+    batch.write.mode("overwrite").parquet(path)
+    return True
+
+
 def write_results(results: dict[str, DataFrame], root: str, mode: str = "overwrite") -> None:
     """Store named result frames as ``<root>/<name>`` parquet folders (K-09)."""
     for name, df in results.items():
