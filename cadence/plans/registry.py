@@ -54,7 +54,7 @@ def _pipeline_share(t, d=None, **_):
 def queries() -> dict[str, QueryFn]:
     from cadence.plans import pull_requests as pr
     from cadence.plans import reviews as rv
-    from cadence.plans import adoption, iac, ingest_bound, ingest_keys, releases, team, tracker
+    from cadence.plans import adoption, iac, ingest_bound, ingest_keys, operator_keys, releases, team, tracker
     from cadence.plans import workflows as wf
 
     q: dict[str, QueryFn] = {}
@@ -90,4 +90,8 @@ def queries() -> dict[str, QueryFn]:
         q[name] = _metric(fn, anchored=False)
     for name, fn in ingest_bound.JOBS.items():
         q[name] = _metric(fn, anchored=False)
+    for name, fn in operator_keys.STATIC.items():
+        q[name] = _metric(fn, anchored=False)
+    for name, fn in operator_keys.PERIODIC.items():
+        q[name] = _metric(fn, PR_DAYS)
     return q

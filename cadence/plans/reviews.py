@@ -23,12 +23,12 @@ def _prs(t: Tables, ts: str, days: int, as_of, d: Defaults) -> DataFrame:
 
 def _with_first_review(p: DataFrame, t: Tables) -> DataFrame:
     return first_related(p, t.need("pull_request_reviews"), ("id", "pull_request_id"), "submitted_at",
-                         name="first_review_at")
+                         name="first_review_at", prefilter=t.stored)
 
 
 def _with_last_approval(p: DataFrame, t: Tables, nulls: str) -> DataFrame:
     return last_related(p, t.need("pull_request_reviews"), ("id", "pull_request_id"), "submitted_at",
-                        where=F.col("state") == "APPROVED", nulls=nulls, name="last_approval_at")
+                        where=F.col("state") == "APPROVED", nulls=nulls, name="last_approval_at", prefilter=t.stored)
 
 
 def review_avg_time_to_first(t: Tables, days: int = 120, as_of=None, d: Defaults = DEFAULTS) -> DataFrame:

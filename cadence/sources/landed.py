@@ -135,9 +135,15 @@ def read_tracker_csv(spark: SparkSession, path: str, strict_dates: bool = False)
     as the original does). Headers are found by one aggregate with a row per
     file, joined to the lines: no global sort, nothing on the driver.
     """
-    lines = spark.read.text(path).where(F.trim("value") != "").select(
-        "value", F.col("_metadata.file_path").alias("__file"),
-        F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id")).alias("__at"))
+    lines = spark.read.text(path).select(
+        "value", F.col("_metadata.file_path").alias("file"),
+        F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id")).alias("at"))
+    return parse_tracker_lines(lines, strict_dates)
+
+
+def parse_tracker_lines(lines: DataFrame, strict_dates: bool = False) -> DataFrame:
+    """The rows of tracker exports given as lines: ``file``, ``at`` (any type that sorts lines of a file, unique in it), ``value``."""
+    lines = lines.where(F.trim("value") != "").select("value", F.col("file").alias("__file"), F.col("at").alias("__at"))
     heads = lines.groupBy("__file").agg(F.min_by("value", "__at").alias("head"), F.min("__at").alias("__first"))
     names = F.transform(split_csv_line("head"), F.lower)
 

@@ -62,6 +62,8 @@ class Tables:
     sync_runs: DataFrame | None = None
     #: Facts stored in slices (``sources/slices.py``) by table and time column; metrics prefer them to the table.
     sliced: dict = field(default_factory=dict)
+    #: The tables are files, not views: reading one twice is a scan of few columns, not a second derivation.
+    stored: bool = False
 
     def need(self, name: str) -> DataFrame:
         df = getattr(self, name)
@@ -70,7 +72,7 @@ class Tables:
         return df
 
     def names(self) -> list[str]:
-        return [f.name for f in fields(self) if f.name != "sliced" and getattr(self, f.name) is not None]
+        return [f.name for f in fields(self) if f.name not in ("sliced", "stored") and getattr(self, f.name) is not None]
 
 
 def read_tables(spark: SparkSession, root: str, names=TABLE_NAMES, missing_ok: bool = False) -> Tables:
@@ -86,7 +88,7 @@ def read_tables(spark: SparkSession, root: str, names=TABLE_NAMES, missing_ok: b
         except AnalysisException as e:
             if not missing_ok or e.getCondition() != "PATH_NOT_FOUND":
                 raise
-    return Tables(**kw)
+    return Tables(**kw, stored=True)
 
 
 def write_tables(tables: Tables, root: str, mode: str = "overwrite") -> None:
