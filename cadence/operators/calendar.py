@@ -79,51 +79,32 @@ def open_per_day(df: DataFrame, key: str, start: str, end: str, as_of=None, name
     An item is open on day d when ``start_day <= d < end_day``; a missing end
     means open through the as-of day (end = as_of day + 1). Instead of joining
     every day to every item (a nested-loop join) each item emits +1 on its start
-    day and −1 on its end day; deltas are summed per (key, day) and a running
-    sum over the calendar gives the open count. Items closing on or before
-    their start day never count, as in the interval form.
+    day and −1 on its end day; deltas are summed per (key, day), and the running
+    sum holds for every day up to the next delta. The items are read once, and
+    days without events come from the span before them. Items closing on or
+    before their start day never count, as in the interval form.
     """
     now = resolve_as_of(as_of)
     today = to_day(now)
     s = to_day(start)
     e = F.coalesce(to_day(end), F.date_add(today, 1))
-    items = df.select(F.col(key), s.alias("__s"), e.alias("__e")).where(F.col("__e") > F.col("__s"))
+    items = df.select(F.col(key), s.alias("__s"), e.alias("__e")).where(F.col("__s") <= today)
+    lasts = F.coalesce(F.col("__e") > F.col("__s"), F.lit(False))
     deltas = (
-        items.select(key, F.explode(F.array(
-            F.struct(F.col("__s").alias("d"), F.lit(1).alias("v")),
-            F.struct(F.col("__e").alias("d"), F.lit(-1).alias("v")),
-        )).alias("ev"))
-        .groupBy(key, F.col("ev.d").alias(name))
+        items.select(key, F.explode(F.array_compact(F.array(
+            # an item without a day counts 0, so that the first day of its key is known
+            F.struct(F.col("__s").alias("d"), F.when(lasts, 1).otherwise(0).alias("v")),
+            F.when(lasts, F.struct(F.col("__e").alias("d"), F.lit(-1).alias("v"))),
+        ))).alias("ev"))
+        .groupBy(key, F.col("ev.d").alias("__from"))
         .agg(F.sum("ev.v").alias("__delta"))
     )
-    bounds = df.groupBy(key).agg(F.min(s).alias("__start"))
-    cal = calendar(bounds, F.col("__start"), today, 1, name).select(key, name)
-    w = Window.partitionBy(key).orderBy(name).rowsBetween(Window.unboundedPreceding, 0)
-    return (
-        cal.join(deltas, [key, name], "left")
-        .select(key, name, F.sum(F.coalesce(F.col("__delta"), F.lit(0))).over(w).cast("bigint").alias(count_name))
-    )
-
-
-def open_per_day_interval_join(df: DataFrame, key: str, start: str, end: str, as_of=None,
-                               name: str = "date", count_name: str = "open_prs") -> DataFrame:
-    """The direct interval-join form of :func:`open_per_day`, for tests only
-    (it plans a nested-loop join)."""
-    now = resolve_as_of(as_of)
-    today = to_day(now)
-    items = df.select(F.col(key), to_day(start).alias("__s"),
-                      F.coalesce(to_day(end), F.date_add(today, 1)).alias("__e"))
-    bounds = df.groupBy(key).agg(F.min(to_day(start)).alias("__start"))
-    cal = calendar(bounds, F.col("__start"), today, 1, name).select(key, name)
-    j = cal.alias("c").join(
-        items.alias("i"),
-        (F.col(f"c.{key}") == F.col(f"i.{key}")) & (F.col(f"c.{name}") >= F.col("i.__s"))
-        & (F.col(f"c.{name}") < F.col("i.__e")),
-        "left",
-    )
-    return j.groupBy(F.col(f"c.{key}").alias(key), F.col(f"c.{name}").alias(name)).agg(
-        F.count("i.__s").alias(count_name)
-    )
+    w = Window.partitionBy(key).orderBy("__from")
+    spans = deltas.select(
+        key, "__from", F.sum("__delta").over(w.rowsBetween(Window.unboundedPreceding, 0)).cast("bigint").alias(count_name),
+        F.least(F.coalesce(F.date_sub(F.lead("__from").over(w), 1), today), today).alias("__to"))
+    return spans.where(F.col("__from") <= F.col("__to")).select(
+        key, F.explode(F.sequence("__from", "__to")).alias(name), count_name)
 
 
 def running_total(df: DataFrame, keys, date: str, value: str, class_col: str | None = None,

@@ -336,8 +336,9 @@ _RAW_MEMO: dict[tuple, Raw] = {}
 
 
 def _dir_stamp(sf_dir: str) -> tuple:
+    """Names and times of the files of a folder of this machine; empty where they cannot be known."""
     try:
-        return tuple(sorted((e.name, e.stat().st_mtime_ns) for e in os.scandir(sf_dir)))
+        return tuple(sorted((e.name, e.stat().st_mtime_ns) for e in os.scandir(sf_dir.removeprefix("file://"))))
     except OSError:
         return ()
 
@@ -347,9 +348,13 @@ def bind(spark: SparkSession, sf_dir: str) -> Tables:
 
     The parquet readers are shared by bindings of the same session and folder
     (keyed on the files' stamps), so a dashboard of sixty metrics opens each
-    file once.
+    file once. A folder on another file system has no stamps; it gets readers of
+    its own each time.
     """
-    key = (id(spark), sf_dir, _dir_stamp(sf_dir))
+    stamp = _dir_stamp(sf_dir)
+    if not stamp:
+        return BoundTables(Raw(spark, sf_dir))
+    key = (id(spark), sf_dir, stamp)
     raw = _RAW_MEMO.get(key)
     if raw is None or raw.spark is not spark:
         raw = _RAW_MEMO[key] = Raw(spark, sf_dir)
@@ -365,18 +370,15 @@ def bound_as_of(tables: Tables, lazy: bool = False):
     By default it is computed once per data folder (a one-row aggregate) and
     passed on as a literal parameter, so the sixty metrics do not each re-run
     the order / line-item aggregation. ``lazy=True`` gives the scalar-subquery
-    form instead (no job until the metric runs).
+    form instead (no job until the metric runs), as do folders of which it cannot
+    be told whether they have changed.
     """
     prs = tables.need("pull_requests")
-    if lazy or not isinstance(tables, BoundTables):
+    folder_stamp = _dir_stamp(tables.raw.sf_dir) if isinstance(tables, BoundTables) else ()
+    if lazy or not folder_stamp:
         return prs.agg(F.max("merged_at") + F.expr("INTERVAL '1' DAY")).scalar()
     raw = tables.raw
-    stamp = tuple(
-        os.stat(os.path.join(raw.sf_dir, f"{n}.parquet")).st_mtime_ns
-        if os.path.exists(os.path.join(raw.sf_dir, f"{n}.parquet")) else 0
-        for n in ("orders", "lineitem", "customer")
-    )
-    key = (raw.sf_dir, stamp)
+    key = (raw.sf_dir, folder_stamp)
     if key not in _AS_OF_MEMO:
         latest = prs.agg(F.max("merged_at").alias("m")).first()["m"]
         _AS_OF_MEMO[key] = latest

@@ -11,6 +11,12 @@ applied. Manifests are numbered folders; the highest one with Spark's _SUCCESS
 marker is the table. They are listed through Spark's file system API, so the
 table may lie on any store, and old data stays readable until it is cleaned.
 
+A manifest is never overwritten: of two streams that build the same number, the
+second one finds it taken, reads the table again and merges its batch into
+that. (The store has to refuse a folder that exists, as Spark's ``error`` mode
+asks it to; between that look and the first file lies a moment that only a
+table format with commits of its own closes.)
+
 A replayed epoch is recognised by (query id, epoch) in the manifest. The query
 id lives in the stream's checkpoint: after a reset of the checkpoint the id is
 new, all landed files come again and are merged again, so nothing is lost. The
@@ -23,6 +29,7 @@ import threading
 import uuid
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,12 +55,11 @@ def manifest_versions(spark: SparkSession, root: str) -> list[int]:
     return sorted(found)
 
 
-def read_manifest(spark: SparkSession, root: str) -> list:
-    """Rows of the newest manifest: at most BUCKETS buckets and a row per stream."""
-    versions = manifest_versions(spark, root)
-    if not versions:
-        return []
-    return spark.read.schema(MANIFEST).json(f"{root.rstrip('/')}/_manifest/v={versions[-1]}").collect()
+def read_manifest(spark: SparkSession, root: str, version: int | None = None) -> list:
+    """Rows of a manifest, by default the newest: at most BUCKETS buckets and a row per stream."""
+    if version is None:
+        version = (manifest_versions(spark, root) or [0])[-1]
+    return spark.read.schema(MANIFEST).json(f"{root.rstrip('/')}/_manifest/v={version}").collect() if version else []
 
 
 def _read_buckets(spark: SparkSession, rows: list, schema: str) -> DataFrame:
@@ -78,23 +84,34 @@ def merge_stream(spark: SparkSession, landed_dir: str, landed_schema: str, table
     def apply(batch: DataFrame, epoch: int) -> None:
         started.wait()
         stream = query_id[0]
-        rows = read_manifest(spark, root)
-        if any(r.stream == stream and r.epoch >= epoch for r in rows if r.stream):
-            return  # replay of an applied epoch
         batch = batch.persist()
         try:
             touched = {r[0] for r in batch.select(bucket).distinct().collect()}  # BUCKETS numbers at most
-            path = f"{root}/data/{uuid.uuid4().hex}"
-            if touched:
-                current = _read_buckets(spark, [r for r in rows if r.path and r.bucket in touched], table_schema)
-                merge(current, batch).withColumn("bucket", bucket).repartition("bucket").write.partitionBy("bucket").parquet(path)
+            while not _publish(batch, touched, stream, epoch):
+                pass
         finally:
             batch.unpersist()
+
+    def _publish(batch: DataFrame, touched: set, stream: str, epoch: int) -> bool:
+        """Merge into the newest manifest and publish the next; False when another stream has published meanwhile."""
+        version = (manifest_versions(spark, root) or [0])[-1] + 1
+        rows = read_manifest(spark, root, version - 1)
+        if any(r.stream == stream and r.epoch >= epoch for r in rows if r.stream):
+            return True  # replay of an applied epoch
+        path = f"{root}/data/{uuid.uuid4().hex}"
+        if touched:
+            current = _read_buckets(spark, [r for r in rows if r.path and r.bucket in touched], table_schema)
+            merge(current, batch).withColumn("bucket", bucket).repartition("bucket").write.partitionBy("bucket").parquet(path)
         table = [(r.bucket, r.path, None, None) for r in rows if r.path and r.bucket not in touched]
         table += [(b, path, None, None) for b in sorted(touched)]
         streams = [(None, None, r.stream, r.epoch) for r in rows if r.stream and r.stream != stream] + [(None, None, stream, epoch)]
-        version = (manifest_versions(spark, root) or [0])[-1] + 1
-        spark.createDataFrame(table + streams, MANIFEST).coalesce(1).write.mode("overwrite").json(f"{root}/_manifest/v={version}")
+        try:
+            spark.createDataFrame(table + streams, MANIFEST).coalesce(1).write.mode("error").json(f"{root}/_manifest/v={version}")
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_ALREADY_EXISTS":
+                raise
+            return False
+        return True
 
     reader = spark.readStream.schema(landed_schema).option("multiLine", True).json(landed_dir)
     writer = reader.writeStream.foreachBatch(apply).option(

@@ -218,3 +218,29 @@ def test_stored_tables_round_trip_with_schemas(spark):
     assert t.names() == ["repositories", "config"] and t.repositories.collect() == repos.collect()
     with pytest.raises(AnalysisException):
         read_tables(spark, root)
+
+
+def test_as_of_of_a_folder_by_uri_is_not_stale(spark, tmp_path):
+    """A folder whose files cannot be looked at from here gets a fresh anchor; a local one by URI is looked at."""
+    import datetime as dt
+    import shutil
+
+    from cadence.sources import bound
+    from conftest import SMALL
+
+    for name in ("orders", "lineitem", "customer", "nation", "region"):
+        shutil.copy(f"{SMALL}/{name}.parquet", tmp_path)
+    uri = f"file://{tmp_path}"
+    latest = lambda: spark.range(1).select(bound.bound_as_of(bound.bind(spark, uri)).alias("a")).first().a
+    before = latest()
+    late = spark.read.parquet(f"{SMALL}/lineitem.parquet").withColumn("l_shipdate", F.col("l_shipdate") + F.expr("interval 9 years"))
+    late.coalesce(1).write.parquet(f"{tmp_path}/new")
+    part = next((tmp_path / "new").glob("*.parquet"))
+    shutil.copy(part, f"{tmp_path}/lineitem.parquet")
+    assert latest() > before + dt.timedelta(days=365)
+    known, bound._dir_stamp = bound._dir_stamp, lambda folder: ()  # as on another file system
+    try:
+        assert not bound._dir_stamp(uri) and latest() > before
+        assert "scalar-subquery" in spark.range(1).select(bound.bound_as_of(bound.bind(spark, uri)))._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        bound._dir_stamp = known

@@ -6,9 +6,10 @@ import random
 from pyspark.sql import functions as F
 
 from cadence.config import DEFAULTS
-from cadence.functions import first_int, pg_initcap
-from cadence.operators.calendar import open_per_day, open_per_day_interval_join, period_calendar
+from cadence.functions import first_int, pg_initcap, to_day
+from cadence.operators.calendar import calendar, open_per_day, period_calendar
 from cadence.operators.ordinal import row_ordinal, row_ordinal_window
+from cadence.operators.period import resolve_as_of
 from cadence.operators.related import last_related
 from cadence.operators.shape import pivot_forward_fill, size_bucket
 from cadence.operators.trend import trend_change_pct, trend_line
@@ -63,6 +64,26 @@ def test_calendar_grain_switch(spark):
     assert all(d.weekday() == 0 for d in days240) and days240[-1] == dt.date(2024, 6, 10)
 
 
+def open_per_day_interval_join(df, key, start, end, as_of=None,
+                               name="date", count_name="open_prs"):
+    """The direct interval-join form of :func:`open_per_day` (it plans a nested-loop join)."""
+    now = resolve_as_of(as_of)
+    today = to_day(now)
+    items = df.select(F.col(key), to_day(start).alias("__s"),
+                      F.coalesce(to_day(end), F.date_add(today, 1)).alias("__e"))
+    bounds = df.groupBy(key).agg(F.min(to_day(start)).alias("__start"))
+    cal = calendar(bounds, F.col("__start"), today, 1, name).select(key, name)
+    j = cal.alias("c").join(
+        items.alias("i"),
+        (F.col(f"c.{key}") == F.col(f"i.{key}")) & (F.col(f"c.{name}") >= F.col("i.__s"))
+        & (F.col(f"c.{name}") < F.col("i.__e")),
+        "left",
+    )
+    return j.groupBy(F.col(f"c.{key}").alias(key), F.col(f"c.{name}").alias(name)).agg(
+        F.count("i.__s").alias(count_name)
+    )
+
+
 def test_open_per_day_equals_interval_join(spark):
     random.seed(7)
     rows = []

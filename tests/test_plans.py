@@ -28,3 +28,10 @@ def test_pruned_scan(spark):
 def test_filters_pushed_to_scan(spark):
     plan = QUERIES["pr_total"](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [IsNotNull(c_mktsegment), Not(EqualTo(c_mktsegment,MACHINERY))" in plan
+
+
+def test_bound_of_the_period_reaches_the_scan_of_runs(spark):
+    """The earliest begin of all repositories' periods is a filter of the scan, and the anchors are aggregated once."""
+    plan = QUERIES["wf_run_count"](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
+    scans = [line for line in plan.splitlines() if "FileScan" in line and "event_type" in line]
+    assert len(scans) == 1 and "subquery" in scans[0].split("DataFilters: ")[1].split("Format:")[0]

@@ -66,3 +66,24 @@ def test_only_touched_buckets_are_rewritten(spark, run):
     second = {r.bucket: r.path for r in read_manifest(spark, table) if r.path}
     assert len(rows) == 200 and rows[7] == ("new", "x")
     assert sum(second[b] != first[b] for b in first) == 1 and set(first) == set(second)
+
+
+def test_two_streams_keep_both_batches(spark, run):
+    """While the first stream merges, a second one publishes the number that the first has picked."""
+    landed, table, go = run
+    other = landed + "-other"
+    os.makedirs(other)
+    _write(landed, "a.json", [{"id": 1, "title": "a", "author": "x", "arrival": 1}])
+    _write(other, "b.json", [{"id": 1, "title": "b", "author": "y", "arrival": 2}, {"id": 2, "title": "c", "author": "z", "arrival": 2}])
+    merges = []
+
+    def slow(cur, batch):
+        merges.append(1)
+        if len(merges) == 1:
+            merge_stream(spark, other, LANDED, table, TABLE, _merge, ["id"], name=os.path.basename(os.path.dirname(landed)) + "-2").awaitTermination(120)
+        return _merge(cur, batch)
+
+    merge_stream(spark, landed, LANDED, table, TABLE, slow, ["id"], name=os.path.basename(os.path.dirname(landed)) + "-1").awaitTermination(120)
+    rows = {r["id"]: (r["title"], r["author"]) for r in latest_snapshot(spark, table, TABLE).collect()}
+    assert rows == {1: ("a", "y"), 2: ("c", "z")} and len(merges) == 2
+    assert manifest_versions(spark, table) == [1, 2]
