@@ -22,7 +22,7 @@ from cadence.plans import iac, ingest, reviews
 from cadence.plans.common import with_repo
 from cadence.plans.dashboard import pr_weekly_results
 from cadence.session import ensure_checkpoint_dir
-from cadence.sources.landed import parse_tracker_lines
+from cadence.sources.landed import (parse_module_scan, parse_published_at, parse_registry_modules, parse_registry_versions, parse_tracker_lines)
 from cadence.sources.slices import sliced_period, write_sliced
 from cadence.sources.tables import Tables, replace_all, replace_partitions
 
@@ -199,6 +199,46 @@ def import_tracker(t: Tables, d: Defaults = DEFAULTS, **_) -> DataFrame:
     return parse_tracker_lines(rows.unionByName(heads_of).unionByName(blank))
 
 
+def module_scan(t: Tables, d: Defaults = DEFAULTS, **_) -> DataFrame:
+    """S-04: module scans as JSON text, one per brand, with fields of the wrong type and items that are no objects."""
+    p, k = t.raw.part, F.col("p_partkey")
+    item = F.to_json(F.struct(
+        F.col("p_type").alias("source"), F.when(k % 3 != 0, F.lit("registry")).alias("sourceType"), F.col("p_name").alias("filePath"),
+        F.col("p_size").alias("version"), k.alias("lineNumber")))
+    item = F.when(k % 11 == 0, F.lit('"no object"')).when(k % 13 == 0, F.lit('{"source": 5, "lineNumber": "x"}')).otherwise(item)
+    text = F.concat(F.lit('{"modules": ['), F.array_join(F.sort_array(F.collect_list(item)), ","), F.lit("]}"))
+    scans = p.groupBy("p_brand").agg(text.alias("text"))
+    odd = p.select(F.concat(F.lit("bad "), F.col("p_brand")).alias("p_brand")).distinct().withColumn("text", F.lit('{"modules": ['))
+    return parse_module_scan(scans.unionByName(odd), "text", "p_brand")
+
+
+def registry_pages(t: Tables, d: Defaults = DEFAULTS, **_) -> DataFrame:
+    """S-05: registry pages as JSON text; modules without a text name, provider and namespace drop, as do versions that are no text."""
+    p, k = t.raw.part, F.col("p_partkey")
+    module = F.struct(F.col("p_type").alias("name"), F.when(k % 5 != 0, F.lit("aws")).alias("provider"), F.col("p_brand").alias("namespace"))
+    pages = p.select(F.to_json(F.struct(F.array(module).alias("modules"))).alias("text"))
+    modules = parse_registry_modules(pages, "text").groupBy("name", "provider", "namespace").agg(F.count(F.lit(1)).alias("pages"))
+    version = F.when(k % 4 == 0, F.lit('{"version": 7}')).otherwise(
+        F.concat(F.lit('{"version": "'), (k % 9).cast("string"), F.lit(".0."), F.col("p_size").cast("string"), F.lit('"}')))
+    listed = p.select(k.alias("id"), "p_type", "p_brand", F.concat(F.lit('{"modules": [{"versions": ['), version, F.lit("]}]}")).alias("text"))
+    versions = parse_registry_versions(listed, "text", ["p_type", "p_brand"]).groupBy("p_type", "p_brand").agg(
+        F.countDistinct("version").alias("versions"), F.max("version").alias("greatest_text"))
+    return modules.join(versions, (modules["name"] == versions["p_type"]) & (modules["namespace"] == versions["p_brand"]), "left").drop("p_type", "p_brand")
+
+
+def published_dates(t: Tables, d: Defaults = DEFAULTS, **_) -> DataFrame:
+    """S-05: version documents landed as JSON lines; dates with offsets count in UTC, bad ones are NULL."""
+    o, k = t.raw.orders, F.col("o_orderkey")
+    text = F.when(k % 5 == 0, F.lit("soon")).when(k % 5 == 1, F.date_format("o_orderdate", "yyyy-MM-dd")).otherwise(
+        F.concat(F.date_format("o_orderdate", "yyyy-MM-dd'T'"), F.lit("10:30:00"), F.when(k % 5 == 2, F.lit("Z")).otherwise(F.lit("+02:00"))))
+    doc = F.to_json(F.struct(k.alias("id"), text.alias("published_at")))
+    path = _scratch(t, "documents")
+    o.select(doc.alias("value")).write.text(path)
+    landed = t.raw.spark.read.text(path)
+    read = landed.select(F.from_json("value", "id bigint").alias("d"), parse_published_at("value").alias("published_at"))
+    return read.select("d.id", "published_at")
+
+
 def import_registry_releases(t: Tables, d: Defaults = DEFAULTS, **_) -> DataFrame:
     """I-10: stored releases keep their first version and date; a new summary updates count and latest version only."""
     r = t.need("terraform_registry_releases")
@@ -229,6 +269,7 @@ STATIC = {
     "membership_counts": members_of_prs, "membership_split": members_inside_outside, "pending_work": pending_syncs,
     "replace_partitions": partitions_replaced, "replace_all": table_replaced, "open_per_day": open_orders, "rate_by": event_rates,
     "size_buckets": part_sizes, "version_drift": drift_of_all_uses, "import_workflows": import_workflows, "import_tracker": import_tracker,
-    "import_registry_releases": import_registry_releases,
+    "import_registry_releases": import_registry_releases, "parse_module_scan": module_scan, "parse_registry": registry_pages,
+    "parse_published_at": published_dates,
 }
 PERIODIC = {"pr_weekly_results": pr_weekly_results, "iac_supervised_wide": iac_supervised_wide, "review_matrix_no_self": review_matrix_no_self}

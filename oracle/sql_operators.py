@@ -182,3 +182,26 @@ where prr.submitted_at >= {A} - to_days({PR_DAYS}) and pr.merged_by <> prr.revie
   and pr.merged_by not in ('MACHINERY') and prr.reviewer not in ('MACHINERY') and {NOTDRAFT.replace("draft", "pr.draft")}
 group by 1, 2, 3
 """
+
+SQL["parse_module_scan"] = """
+select p_brand as repository, case when p_partkey % 13 = 0 then '' else p_type end as source,
+       case when p_partkey % 13 = 0 or p_partkey % 3 = 0 then '' else 'registry' end as "sourceType", '' as version,
+       case when p_partkey % 13 = 0 then '' else p_name end as "filePath", '' as scan_repository,
+       case when p_partkey % 13 = 0 then 0 else cast(p_partkey as double) end as "lineNumber"
+from part where p_partkey % 11 <> 0
+"""
+
+SQL["parse_registry"] = """
+with m as (select p_type as name, 'aws' as provider, p_brand as namespace, count(*) as pages from part where p_partkey % 5 <> 0 group by all),
+v as (
+  select p_type, p_brand, count(distinct v) as versions, max(v) as greatest_text
+  from (select p_type, p_brand, concat(p_partkey % 9, '.0.', p_size) as v from part where p_partkey % 4 <> 0) x group by all)
+select name, provider, namespace, pages, versions, greatest_text from m left join v on p_type = name and p_brand = namespace
+"""
+
+SQL["parse_published_at"] = """
+select o_orderkey as id, case o_orderkey % 5 when 0 then null when 1 then date_trunc('day', o_orderdate)
+         when 2 then date_trunc('day', o_orderdate) + interval '10 hours 30 minutes'
+         else date_trunc('day', o_orderdate) + interval '8 hours 30 minutes' end as published_at
+from orders
+"""
