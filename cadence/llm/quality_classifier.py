@@ -125,6 +125,18 @@ def _strength(sites: DataFrame, parent: Column, n: str, total: str, within: str)
     return float(min(STRENGTH[1], max(STRENGTH[0], inside / spread if spread > 0 else STRENGTH[1])))
 
 
+def _sample(labelled: DataFrame) -> DataFrame:
+    """The FIT_ROWS rows with the least hashes. Only rows below a bound that a few more than FIT_ROWS should reach take
+    part, so that not every task hands its own FIT_ROWS to the driver; if too few do, as ids repeat, all rows take part."""
+    rows = labelled.count()
+    if rows > 2 * FIT_ROWS:
+        bound = (1 << 64) * FIT_ROWS * 5 // (4 * rows) - (1 << 63)
+        least = labelled.where(F.col("order") < F.lit(bound))
+        if least.count() >= FIT_ROWS:
+            labelled = least
+    return labelled.orderBy("order", "doc_id").limit(FIT_ROWS)
+
+
 def classify(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", host: Column | None = None,
              path: Column | None = None, label_col: str = "quality", cut: float = 0.0) -> DataFrame:
     """doc_id, host, path, evidence, host_posterior, path_posterior, score (0 to 1), kept: one row per row of ``df``."""
@@ -136,8 +148,8 @@ def classify(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     measured = stage(src.mapInPandas(_measure, f"doc_id {id_type}, host string, path string, "
                                      + ", ".join(f"{f} double" for f in FEATURES)), "features")
     good = labels.select(F.col(id_col).alias("label_id"), F.col(label_col).alias("good")).where("good is not null")
-    sample = (measured.join(good, F.col("doc_id") == F.col("label_id"))
-              .orderBy(F.xxhash64("doc_id"), "doc_id").limit(FIT_ROWS).select("good", *FEATURES).toPandas())
+    labelled = measured.join(good, F.col("doc_id") == F.col("label_id")).select("doc_id", "good", *FEATURES)
+    sample = _sample(stage(labelled.withColumn("order", F.xxhash64("doc_id")), "labelled")).select("good", *FEATURES).toPandas()
     w, b = fit(sample[list(FEATURES)].to_numpy(float), (sample["good"].to_numpy(float) > 0).astype(float))
     evidence = F.lit(b)
     for f, k in zip(FEATURES, w):
