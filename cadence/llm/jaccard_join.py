@@ -25,7 +25,8 @@ shingles (num / den = 90 / 100 by default). Sets are compared by 64-bit hashes.
 Null and edge cases: null, empty and wordless texts have no shingles and link
 with nothing; shorter texts than a shingle are one shingle; repeated rows and
 ids belong to the group of their set; a null id never names a group unless all
-its ids are null; an empty table gives an empty result; texts are read whole;
+its ids are null, and a text that occurs under null ids only links with equal
+texts alone, as nodes come back to their texts by an id; an empty table gives an empty result; texts are read whole;
 other columns are ignored.
 """
 
