@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cadence.llm.common import documents, stage
+from cadence.llm.common import documents, stage, unstage
 
 MAX_WORDS = 150_000
 MAX_GRAMS = 150_000
@@ -52,7 +52,14 @@ _KEEP = 100_000
 
 
 def words_of(text: str) -> list[str]:
-    return _WORD.findall(text.lower())
+    """Runs of letters, lower-cased. Numbers that are no digits (², Ⅷ) match the pattern but are no letters."""
+    out = []
+    for word in _WORD.findall(text.lower()):
+        if word.isalpha():
+            out.append(word)
+        else:
+            out += "".join(c if c.isalpha() else " " for c in word).split()
+    return out
 
 
 def grams_of(word: str, n: int) -> list[str]:
@@ -207,16 +214,18 @@ def learn(rows: DataFrame, max_words: int = MAX_WORDS, max_grams: int = MAX_GRAM
                  n_words, n_grams, (short, grams))
 
 
-def _grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """word, k, gram, times: the n-grams of each word."""
-    for batch in batches:
-        rows = []
-        for word in batch["word"]:
-            rows += [(word, k, g, n) for k in range(1, min(MAX_GRAM, len(word) + 2) + 1) for g, n in Counter(grams_of(word, k)).items()]
-            if len(rows) > _GATHER:
-                yield pd.DataFrame(rows, columns=["word", "k", "gram", "times"])
-                rows = []
-        yield pd.DataFrame(rows, columns=["word", "k", "gram", "times"])
+def _grams(k: int):
+    """word, gram, times: the n-grams of length k of each word."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for word in batch["word"]:
+                rows += [(word, g, n) for g, n in Counter(grams_of(word, k)).items()]
+                if len(rows) > _GATHER:
+                    yield pd.DataFrame(rows, columns=["word", "gram", "times"])
+                    rows = []
+            yield pd.DataFrame(rows, columns=["word", "gram", "times"])
+    return run
 
 
 def _log_columns(counts: DataFrame, key: str, langs: list[str], totals: dict[str, int], distinct: int) -> DataFrame:
@@ -231,11 +240,18 @@ def _looked_up(words: DataFrame, model: Model) -> DataFrame:
     logs = [f"l_{i}" for i in range(len(model.langs))]
     known, grams = model.tables
     found = stage(_log_columns(known.join(words, "word", "left_semi"), "word", model.langs, model.totals, model.n_words), "learned-words")
-    parts = stage(words.join(found, "word", "left_anti").mapInPandas(_grams, "word string, k int, gram string, times long"), "word-grams")
-    asked = _log_columns(grams.join(parts.select("gram").distinct(), "gram", "left_semi"), "gram", model.langs, model.gram_totals, model.n_grams)
-    means = parts.join(asked, "gram").groupBy("word", "k").agg(*[(F.sum(F.col("times") * F.col(x)) / F.sum("times")).alias(x) for x in logs])
-    longest = means.groupBy("word").agg(F.max_by(F.struct(*logs), "k").alias("x")).select("word", "x.*")
-    return stage(found.unionByName(longest), "looked-up")
+    out, rest = found, stage(words.join(found, "word", "left_anti"), "unseen-words")
+    for k in range(MAX_GRAM, 0, -1):  # n-grams one shorter are written only of words without a learned one so far
+        parts = stage(rest.mapInPandas(_grams(k), "word string, gram string, times long"), "word-grams")
+        of_length = grams.where(F.length("gram") == k).join(parts.select("gram").distinct(), "gram", "left_semi")
+        asked = _log_columns(of_length, "gram", model.langs, model.gram_totals, model.n_grams)
+        means = stage(parts.join(asked, "gram").groupBy("word").agg(
+            *[(F.sum(F.col("times") * F.col(x)) / F.sum("times")).alias(x) for x in logs]), "word-scores")
+        left = stage(rest.join(means, "word", "left_anti"), "unseen-words") if k > 1 else None
+        unstage(parts)
+        unstage(rest)
+        out, rest = out.unionByName(means), left
+    return out
 
 
 def _predict_by_join(src: DataFrame, model: Model, id_type: str) -> DataFrame:

@@ -94,3 +94,9 @@ def test_bounds_do_not_change_answers(spark, docs_of):
     models = L.learn(some.select("text", "lang"), 500, 500), L.learn(some.select("text", "lang"))
     a, b = ({r.doc_id: (r.lang_pred, round(r.score, 3)) for r in L.predict(some, m).collect()} for m in models)
     assert a == b
+
+
+def test_numbers_that_are_no_digits_are_no_letters(spark, docs_of):
+    rows = docs_of([(i, "the cat and the dog", "en") for i in range(40)] + [(50, "²½Ⅷ ①", "en"), (51, "the² cat½", "en"), (52, "½", None)])
+    got = {r.doc_id: (r.lang_pred, r.score) for r in L.predict(rows, L.learn(rows)).collect()}
+    assert got[50] == got[52] == ("und", 0.0) and got[51][0] == "en"
