@@ -17,7 +17,8 @@ Strings of pieces are bytes read as ISO 8859-1, so that a character is a byte.
 
 Null and edge cases: a null text counts as empty and has no ids (the digest of
 nothing); white space of every kind follows the pattern; texts are encoded
-whole; repeated rows are encoded each; an empty table gives an empty result;
+whole, but a match of the pattern without any break, such as a block of base64, costs
+the square of its length; repeated rows are encoded each; an empty table gives an empty result;
 other columns are ignored.
 """
 

@@ -20,7 +20,8 @@ Sequences have exactly SEQUENCE tokens but for the last one, so nearly nothing
 is padded.
 
 Null and edge cases: a null text counts as empty and still gives its end id; a
-null or rare source goes to the queue ``OTHER``; repeated rows are packed each;
+null source, and with targets one that has none, goes to the queue ``OTHER``, which a
+source of that name shares; repeated rows are packed each;
 an empty table gives an empty result; very long texts are cut at sequence ends
 like others; other columns are ignored.
 """

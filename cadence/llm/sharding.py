@@ -25,6 +25,8 @@ _MASK = 0xFFFFFFFF
 
 #: Cells that the rows of a shard are numbered in; a cell, not a shard, is the unit of one task.
 CELLS = 4096
+#: Equal rows that one row is unrolled into at once; beyond, their spans are spread over tasks.
+SPAN = 16384
 
 
 def _next_state(key: Column) -> Column:
@@ -77,7 +79,8 @@ def assign_shards(df: DataFrame, key: str = "doc_id", text: str = "text", shards
     Slots need no task per shard: equal rows are counted first (map-side
     combine, so a key that holds a third of all rows is one row), a shard is
     split into CELLS cells by hash, rows are numbered inside cells and the
-    sizes of the cells, at most shards * CELLS numbers, are summed up.
+    sizes of the cells, at most shards * CELLS numbers, are summed up. Counted rows
+    are unrolled in spans of SPAN that lie in tasks of their own.
     """
     body = F.encode(F.coalesce(F.col(text), F.lit("")), "UTF-8")
     k = shard_key(df, key)
@@ -97,10 +100,14 @@ def assign_shards(df: DataFrame, key: str = "doc_id", text: str = "text", shards
     inside = (Window.partitionBy("shard", "cell").orderBy("doc_id", "size", "text_crc32")
               .rowsBetween(Window.unboundedPreceding, -1))
     first = placed.withColumn("first", F.coalesce(F.sum("n").over(inside), F.lit(0)))
-    return (first.join(cells, ["shard", "cell"])
-            .withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - F.lit(1))))
-            .select("doc_id", "size", "text_crc32", "shard",
-                    (F.col("base") + F.col("first") + F.col("i")).alias("slot"), "grown_shard"))
+    spans = first.join(cells, ["shard", "cell"]).select(
+        "doc_id", "size", "text_crc32", "shard", "grown_shard", (F.col("base") + F.col("first")).alias("slot"), "n",
+        F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - F.lit(1), F.lit(SPAN).cast("long"))).alias("from"))
+    # the spans of one row go to many tasks; their number is given, as a span is a small row that adaptive plans would gather
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = spans.repartition(tasks, "slot", "from")
+    return (spread.withColumn("i", F.explode(F.sequence(F.col("from"), F.least(F.col("from") + F.lit(SPAN), F.col("n")) - F.lit(1))))
+            .select("doc_id", "size", "text_crc32", "shard", (F.col("slot") + F.col("i")).alias("slot"), "grown_shard"))
 
 
 def op8_jump_hash_sharding(spark, sf_dir):

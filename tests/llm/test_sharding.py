@@ -1,7 +1,7 @@
 import zlib
 from collections import Counter, defaultdict
 
-from cadence.llm.sharding import assign_shards, jump_hash
+from cadence.llm.sharding import SPAN, assign_shards, jump_hash
 from pyspark.sql import functions as F
 
 
@@ -43,3 +43,13 @@ def test_empty_text_keys_and_extra_columns(spark, docs_of):
     df = docs_of([(1, "a")]).selectExpr("cast(doc_id as string) as doc_id", "text", "1 as shard", "2 as slot", "3 as cell")
     r = assign_shards(df).first()
     assert (r.doc_id, r.slot) == ("1", 0) and 0 <= r.shard < 16
+
+
+def test_many_equal_rows_are_unrolled_in_many_tasks(spark):
+    n = 5 * SPAN + 7
+    df = spark.range(n).select(F.lit(5).cast("long").alias("doc_id"), F.lit("same").alias("text"))
+    out = assign_shards(df.unionByName(df.limit(1).withColumn("text", F.lit("other"))))
+    slots = out.groupBy("shard").agg(F.count_distinct("slot").alias("d"), F.min("slot").alias("a"), F.max("slot").alias("b")).collect()
+    assert [(r.d, r.a, r.b) for r in slots] == [(n + 1, 0, n)]
+    most = out.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]
+    assert most <= 4 * SPAN
