@@ -17,14 +17,14 @@ the input.
    the length; prefixes likewise to the left. Every string through the position
    is then a pair of names, and its earliest occurrence is known (job 3). Names
    are made from the bytes themselves, so hash collisions do not matter.
-4. A bucket with over SPLIT positions is dealt to several tasks by document;
+4. A bucket with over SPLIT positions is dealt to several tasks by position;
    strings that are first in their share meet again by a 128-bit hash, each at
    most once a share (job 4). Nothing is capped.
 5. Runs are collected per document and cut out of the text (job 5).
 
 Null and edge cases: a null text counts as empty; texts under LENGTH bytes stay
 whole; ids are integers, a null id comes after all others; rows that repeat an
-id are told apart by content and ordered by its hash; identical rows are one
+id are told apart by 32 bits of a hash of the content and ordered by it; identical rows are one
 document and get the same result each; an empty table gives an empty result;
 other columns are ignored.
 """
@@ -39,17 +39,21 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cadence.llm.common import documents, stage
+from cadence.llm.common import documents, stage, unstage
 from cadence.llm.suffix_buckets import anchors, names_at, refine
 
 LENGTH = 100
 GRAM = 32
 #: Positions of one bucket that one task refines at most.
-SPLIT = 20_000
+SPLIT = 10_000
 #: Positions that a task takes at a time, about.
-SHARE = 40_000
+SHARE = 16_000
 
-_POSITION = (1 << 40) - 1
+#: A place is (version of the id) << _BITS | byte; no string of the JVM is longer than that.
+_BITS = 31
+_POSITION = (1 << _BITS) - 1
+#: Rows whose contexts are laid out at a time.
+_ROWS = 2_048
 
 
 def _bytes(text: str | None) -> bytes:
@@ -65,7 +69,7 @@ def _sample(length: int, gram: int):
                 for doc, version, text in zip(part["doc"], part["version"], part["text"]):
                     p, h, first, last = anchors(np.frombuffer(_bytes(text), dtype=np.uint8), length, gram)
                     docs.append(np.full(len(p), doc, dtype=np.int64))
-                    pos.append(p | (int(version) << 40))
+                    pos.append(p | (int(version) << _BITS))
                     grams.append(h)
                     before.append(p - first)
                     after.append(last + length - p)
@@ -101,6 +105,17 @@ def _merge_frames(rows: Iterator[pd.DataFrame], least: int = 20_000) -> Iterator
         yield pd.concat(held, ignore_index=True)
 
 
+def _side(data: np.ndarray, begin: np.ndarray, size: np.ndarray, step: int, width: int) -> np.ndarray:
+    """The ``size`` bytes from ``begin`` on in steps of ``step``, as rows of ``width`` bytes filled up with zeros."""
+    out = np.zeros((len(begin), width), dtype=np.uint8)
+    reach = np.arange(width)
+    for at in range(0, len(begin), _ROWS):  # the matrix of places is eight times the matrix of bytes
+        part = slice(at, at + _ROWS)
+        places = np.clip(begin[part, None] + step * reach, 0, len(data) - 1)
+        np.copyto(out[part], data[places], where=reach < size[part, None])
+    return out
+
+
 def repeats(group: pd.DataFrame, length: int, gram: int) -> pd.DataFrame:
     """Refine the buckets of ``group``: removed spans, and first strings of split buckets.
 
@@ -115,10 +130,8 @@ def repeats(group: pd.DataFrame, length: int, gram: int) -> pd.DataFrame:
     start = np.concatenate([[0], np.cumsum(sizes)[:-1]])
     data = np.concatenate([np.frombuffer(b"".join(group["context"]), dtype=np.uint8), np.zeros(1, dtype=np.uint8)])
     tail = sizes - lead
-    reach = np.arange(length)
-    after = np.where(reach < tail[:, None], data[np.minimum(start[:, None] + lead[:, None] + reach, len(data) - 1)], 0).astype(np.uint8)
-    reach = np.arange(left)
-    before = np.where(reach < lead[:, None], data[np.maximum(start[:, None] + lead[:, None] - 1 - reach, 0)], 0).astype(np.uint8)
+    after = _side(data, start + lead, tail, 1, length)
+    before = _side(data, start + lead - 1, lead, -1, left)
     _, bucket = np.unique(np.stack([group["gram"].to_numpy(np.int64), group["share"].to_numpy(np.int64)]), axis=1, return_inverse=True)
     bucket = bucket.ravel()
     order_r, rank_r, common_r = refine(bucket, after)
@@ -207,7 +220,7 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     id_type = docs.schema["doc_id"].dataType.simpleString()
     # the version of a document is needed only where ids repeat, and costs shuffle otherwise
     again = docs.groupBy("doc").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count() > 0
-    version = F.xxhash64(F.coalesce("text", F.lit(""))).bitwiseAND(F.lit(0x3FFFFF)) if again else F.lit(0).cast("long")
+    version = F.xxhash64(F.coalesce("text", F.lit(""))).bitwiseAND(F.lit(0xFFFFFFFF)) if again else F.lit(0).cast("long")
     docs = docs.withColumn("version", version)
 
     whole_text = F.sha2(F.encode(F.coalesce("text", F.lit("")), "UTF-8"), 256)
@@ -222,32 +235,35 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                      .select(F.col("gram").alias("shared"), "n"), "shared-grams")
 
     repeated = placed.join(shared_grams(placed).select("shared"), F.col("gram") == F.col("shared"), "left_semi")
-    no_copies = stage(repeated.join(copies, (F.col("doc") == F.col("copy")) & (F.shiftright("pos", 40) == F.col("copy_version")),
+    no_copies = stage(repeated.join(copies, (F.col("doc") == F.col("copy")) & (F.shiftright("pos", _BITS) == F.col("copy_version")),
                                     "left_anti"), "positions-of-firsts")
+    unstage(placed)
     shared = shared_grams(no_copies)
     total = shared.agg(F.sum("n")).first()[0] or 0
     open_rows = stage(no_copies.join(shared, F.col("gram") == F.col("shared")).select(
         "doc", "pos", "gram", "before", "after", F.ceil(F.col("n") / F.lit(split)).cast("int").alias("shares")), "open-positions")
-    per_doc = (open_rows.groupBy(F.col("doc").alias("at"), F.shiftright("pos", 40).alias("v"))
+    unstage(no_copies)
+    per_doc = (open_rows.groupBy(F.col("doc").alias("at"), F.shiftright("pos", _BITS).alias("v"))
                .agg(F.collect_set(F.struct("pos", "gram", "before", "after", "shares")).alias("places")))
     texts = per_doc.join(docs, (F.col("at") == F.col("doc")) & (F.col("v") == F.col("version"))).dropDuplicates(["at", "v"]) if again \
         else per_doc.join(docs, F.col("at") == F.col("doc"))
     around = texts.select("doc", "text", "places").mapInPandas(
         lambda batches: _merge_frames(_contexts(length, gram)(batches)),
         "gram long, shares int, doc long, pos long, lead int, context binary")
-    around = around.withColumn("share", F.when(F.col("shares") > 1, F.pmod(F.xxhash64("doc"), F.col("shares"))).otherwise(F.lit(0)).cast("int"))
+    around = around.withColumn("share", F.when(F.col("shares") > 1, F.pmod(F.xxhash64("doc", "pos"), F.col("shares"))).otherwise(F.lit(0)).cast("int"))
     tasks = int(max(1, -(-total // SHARE)))
     found = stage(around.groupBy(F.pmod(F.xxhash64("gram", "share"), F.lit(tasks)).alias("task")).applyInPandas(
         _refine(length, gram), "doc long, `from` long, `to` long, h1 long, h2 long"), "found-spans")
+    unstage(open_rows)
     spans = found.where("`to` >= 0").select("doc", "from", "to")
     # strings that are first in their share of a split bucket: one row a share at most
     first = found.where("`to` < 0").groupBy("h1", "h2").agg(
         F.min(F.struct("doc", "from")).alias("first"), F.collect_list(F.struct("doc", "from")).alias("all"))
     later = (first.select("first", F.explode("all").alias("x")).where("x <> first")
              .select("x.doc", "x.from", (F.col("x.from") + F.lit(length)).alias("to")))
-    copied = copies.select(F.col("copy").alias("doc"), F.shiftleft("copy_version", 40).alias("from"),
-                           (F.shiftleft("copy_version", 40) + F.col("bytes")).alias("to"))
-    per_doc = (spans.unionByName(later).unionByName(copied).groupBy(F.col("doc").alias("at"), F.shiftright("from", 40).alias("v"))
+    copied = copies.select(F.col("copy").alias("doc"), F.shiftleft("copy_version", _BITS).alias("from"),
+                           (F.shiftleft("copy_version", _BITS) + F.col("bytes")).alias("to"))
+    per_doc = (spans.unionByName(later).unionByName(copied).groupBy(F.col("doc").alias("at"), F.shiftright("from", _BITS).alias("v"))
                .agg(F.collect_set(F.struct("from", "to")).alias("spans")))
     whole = docs.join(per_doc, (F.col("at") == F.col("doc")) & (F.col("v") == F.col("version")), "left")
     return whole.select("doc_id", "text", "spans").mapInPandas(
