@@ -61,7 +61,7 @@ class Raw:
 
 def repositories(raw: Raw) -> DataFrame:
     """One per nation, with names that the repository rules look for (own, shared, infrastructure), and one
-    repository without any fact."""
+    repository without any fact. All parts have a size that the planner knows, so facts are never dealt by the few ids."""
     n, r = raw.nation, raw.region
     key = F.col("n_nationkey")
     name = (
@@ -73,7 +73,8 @@ def repositories(raw: Raw) -> DataFrame:
         .otherwise(F.col("n_name"))
     )
     named = n.join(r, n.n_regionkey == r.r_regionkey).select(key.alias("id"), name.alias("name"), F.col("r_name").alias("organization"))
-    empty = raw.spark.createDataFrame([(99, "EMPTY", "AFRICA")], named.schema)
+    empty = raw.spark.range(1).select(F.lit(99).cast(named.schema["id"].dataType).alias("id"), F.lit("EMPTY").alias("name"),
+                                      F.lit("AFRICA").alias("organization"))
     return named.unionByName(empty).select(
         "id", "name", F.concat(F.col("organization"), F.lit("/"), F.col("name")).alias("full_name"), "organization")
 

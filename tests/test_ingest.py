@@ -4,6 +4,7 @@ import datetime as dt
 import os
 import tempfile
 
+import pytest
 from pyspark.sql import functions as F
 
 from cadence.operators.checkpoint import DONE, pending_work, run_state
@@ -244,3 +245,13 @@ def test_as_of_of_a_folder_by_uri_is_not_stale(spark, tmp_path):
         assert "scalar-subquery" in spark.range(1).select(bound.bound_as_of(bound.bind(spark, uri)))._jdf.queryExecution().optimizedPlan().toString()
     finally:
         bound._dir_stamp = known
+
+
+@pytest.mark.parametrize("name", ["created_repositories", "import_member_commits"])
+def test_facts_are_not_dealt_by_the_few_repositories(spark, name):
+    """A shuffle by repository would sort all line items of one nation in one task."""
+    from __spark_entry__ import queries
+    from conftest import SMALL
+
+    plan = queries()[name](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(c_nationkey" not in plan
