@@ -1,161 +1,159 @@
-"""Byte-level BPE encoding and decoding with Spark higher-order functions.
+"""Byte-level BPE encoding and decoding of texts, batch by batch in the tasks.
 
-Encoding a word folds ranked merges over its bytes: the state holds the pieces
-and the ranks of adjacent pairs, a step merges the leftmost pair of the lowest
-rank and looks up the two pairs that this changes, until no pair has a rank.
-The rank map is a literal of the plan: an array of small maps, picked by a
-hash of the piece, so a lookup does not walk the vocabulary.
+A match of the pattern starts as its bytes; the leftmost pair of neighbours of
+the lowest rank becomes one piece, and with it the two pairs around it change,
+until no pair has a rank. In a match of over SHORT bytes, such as a block of
+base64, pairs wait in a heap, so it costs n log n steps.
 
-Words are encoded once where that pays: the most frequent distinct words of all
-texts (MAX_WORDS at most, counted over all rows) are folded once and become a
-second literal, from words to ids; every other word is folded where it stands,
-by the same expression. The bound shifts work, not results.
+Words between single spaces begin and end with a match, so each is encoded once
+by a Python worker that keeps it, and so are the matches in other stretches
+(MAX_WORDS of either at most, then it starts afresh). The bound shifts work, not results.
 
-Decoding concatenates the binary pieces of the ids, taken from a literal array.
-
-Strings of pieces are bytes read as ISO 8859-1, so that a character is a byte.
+Decoding concatenates the bytes of the ids' pieces.
 
 Null and edge cases: a null text counts as empty and has no ids (the digest of
-nothing); white space of every kind follows the pattern; texts are encoded
-whole, but a match of the pattern without any break, such as a block of base64, costs
-the square of its length; repeated rows are encoded each; an empty table gives an empty result;
-other columns are ignored.
+nothing); white space is that of Unicode; texts are encoded whole; repeated rows
+are encoded each; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
-import json
+from collections.abc import Iterator
+from heapq import heapify, heappop, heappush
 
+import numpy as np
+import pandas as pd
 import public_tokenizers
-from pyspark.sql import Column, DataFrame, SparkSession
+import regex
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cadence.llm.common import documents, stage
-from cadence.llm.tokens import read_ranks
+from cadence.llm.common import documents
+from cadence.llm.tokens import read_ranks, space_cut
 
-#: Words encoded once and kept as a literal, at most.
+#: Words that a worker keeps with their ids, at most.
 MAX_WORDS = 200_000
-#: Longer words are always folded where they stand.
+#: Longer words are not kept.
 MAX_WORD_CHARS = 64
-_BUCKETS = 1 << 16
-#: Rank of a pair that cannot be merged.
-_NONE = 1 << 30
-#: Java's classes are ASCII unless told otherwise; the pattern means Unicode.
-PATTERN = "(?U)" + public_tokenizers.PATTERN
-
-
-def _bucket(s: Column) -> Column:
-    return F.pmod(F.hash(s), F.lit(_BUCKETS))
-
-
-def _hashed(rows: list, value_type: str) -> Column:
-    """A literal array of maps from (bucket, key, value) rows."""
-    maps: list[dict] = [{} for _ in range(_BUCKETS)]
-    for bucket, key, value in rows:
-        maps[bucket][key] = value
-    return F.from_json(F.lit(json.dumps(maps, separators=(",", ":"))), f"array<map<string,{value_type}>>")
-
-
-def _find(table: Column, key: Column) -> Column:
-    return F.try_element_at(F.get(table, _bucket(key)), key)
-
-
-def _let(value: Column, body) -> Column:
-    """body(value) with ``value`` in the plan once, however often the body names it."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
-def _rank(ranks: Column, piece: Column) -> Column:
-    return F.coalesce(_find(ranks, piece), F.lit(_NONE))
-
-
-def fold(word: Column, ranks: Column) -> Column:
-    """Ids (array<int>) of one match of the pattern; ``ranks`` is the literal rank map."""
-    chars = F.decode(F.encode(word, "UTF-8"), "ISO-8859-1")
-    none = F.array().cast("array<int>")
-
-    def merges(chars: Column) -> Column:
-        n = F.length(chars)
-        pieces = F.transform(F.sequence(F.lit(1), n), lambda i: F.substring(chars, i, F.lit(1)))
-        pairs = F.when(n > 1, F.transform(F.sequence(F.lit(1), n - 1), lambda i: _rank(ranks, F.substring(chars, i, F.lit(2)))))
-        start = F.struct(pieces.alias("pieces"), F.coalesce(pairs, none).alias("ranks"))
-
-        def put(state: Column, at: Column) -> Column:
-            old, size = state["pieces"], F.size(state["pieces"])
-
-            def replaced(new: Column) -> Column:
-                before = F.when(at > 1, F.array(_rank(ranks, F.concat(F.get(old, at - 2), new)))).otherwise(none)
-                after = F.when(at + 1 < size, F.array(_rank(ranks, F.concat(new, F.get(old, at + 1))))).otherwise(none)
-                return F.struct(
-                    F.concat(F.slice(old, F.lit(1), at - 1), F.array(new), F.slice(old, at + 2, size)).alias("pieces"),
-                    F.concat(F.slice(state["ranks"], F.lit(1), F.greatest(at - 2, F.lit(0))), before, after,
-                             F.slice(state["ranks"], at + 2, size)).alias("ranks"))
+#: Bytes of a match up to which the lowest pair is sought in a list.
+SHORT = 48
+#: Texts that are handed on at once.
+TEXTS = 256
+#: The white space of Unicode, which the classes of Python's patterns exceed by some control characters.
+PATTERN = public_tokenizers.PATTERN.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}")
+
+ENCODED = "ids array<int>, ids_bytes binary, decoded binary"
+
+
+def fold(word: bytes, ranks: dict[bytes, int]) -> list[int]:
+    """Ids of one match of the pattern by ranked merges."""
+    if word in ranks:  # a word that is a piece needs no merge
+        return [ranks[word]]
+    n = len(word)
+    if n <= SHORT:
+        return _fold_short(word, ranks)
+    end, begin = list(range(1, n + 1)), list(range(-1, n))  # end of the piece from i; start of the piece before i (-1: none)
+    pairs = [(ranks[word[i:i + 2]], i, i + 2) for i in range(n - 1) if word[i:i + 2] in ranks]
+    heapify(pairs)
+    alive = [True] * n
+
+    def push(i: int) -> None:
+        if end[i] < n and (rank := ranks.get(word[i:end[end[i]]])) is not None:
+            heappush(pairs, (rank, i, end[end[i]]))
+
+    while pairs:
+        _, i, to = heappop(pairs)
+        if not alive[i] or end[i] >= n or end[end[i]] != to:  # its pieces have changed
+            continue
+        alive[end[i]] = False
+        end[i] = to
+        if to < n:
+            begin[to] = i
+        push(i)
+        if begin[i] >= 0:
+            push(begin[i])
+    out, i = [], 0
+    while i < n:
+        out.append(ranks[word[i:end[i]]])
+        i = end[i]
+    return out
+
+
+def _fold_short(word: bytes, ranks: dict[bytes, int]) -> list[int]:
+    get, none = ranks.get, 1 << 30
+    cuts = list(range(len(word) + 1))
+    low = [get(word[i:i + 2], none) for i in range(len(word) - 1)]
+    while low:
+        least = min(low)
+        if least == none:
+            break
+        k = low.index(least)
+        del cuts[k + 1], low[k]
+        if k < len(low):
+            low[k] = get(word[cuts[k]:cuts[k + 2]], none)
+        if k:
+            low[k - 1] = get(word[cuts[k - 1]:cuts[k + 1]], none)
+    return [ranks[word[a:b]] for a, b in zip(cuts, cuts[1:])]
 
-            return _let(F.concat(F.get(old, at - 1), F.get(old, at)), replaced)
 
-        def step(state: Column, _: Column) -> Column:
-            low = F.array_min(state["ranks"])
-            return F.when(F.coalesce(low, F.lit(_NONE)) == F.lit(_NONE), state).otherwise(
-                _let(F.array_position(state["ranks"], low).cast("int"), lambda at: put(state, at)))
+class Words:
+    """Ids of words (little-endian unsigned 32-bit), kept while there is room."""
 
-        return F.aggregate(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), start, step,
-                           lambda state: F.transform(state["pieces"], lambda p: _rank(ranks, p)))
+    def __init__(self, path: str, most: int):
+        self.ranks, self.most = read_ranks(path), most
+        self.pieces = {v: k for k, v in self.ranks.items()}
+        self.kept: dict[str, bytes] = {}  # of words, with the space before them
+        self.folded: dict[str, bytes] = {}  # of matches
+        self.matches = regex.compile(PATTERN)
 
-    def whole_or_merged(chars: Column) -> Column:  # a word that is a piece needs no merge
-        return _let(_find(ranks, chars), lambda whole: F.when(whole.isNotNull(), F.array(whole)).otherwise(merges(chars)))
+    def keep(self, kept: dict[str, bytes], key: str, ids: bytes) -> bytes:
+        if len(key) <= MAX_WORD_CHARS:
+            if len(kept) >= self.most:
+                kept.clear()
+            kept[key] = ids
+        return ids
 
-    return _let(chars, whole_or_merged)
+    def match(self, match: str) -> bytes:
+        return self.keep(self.folded, match, np.array(fold(match.encode(), self.ranks), dtype="<u4").tobytes())
 
+    def ids(self, text: str) -> bytes:
+        get, match = self.folded.get, self.match
+        return b"".join([get(m) or match(m) for m in self.matches.findall(text)])
 
-class Vocabulary:
-    """Literals of a rank file: piece to rank, rank to piece and to little-endian bytes (hex)."""
+    def miss(self, word: str) -> bytes:
+        return self.keep(self.kept, word, self.ids(" " + word))
 
-    def __init__(self, spark: SparkSession, path: str):
-        ranks = read_ranks(path)
-        size = max(ranks.values()) + 1
-        tokens = spark.createDataFrame([(k.decode("latin-1"), v) for k, v in ranks.items()], "piece string, rank int")
-        self.ranks = _hashed(tokens.select(_bucket(F.col("piece")), "piece", "rank").collect(), "int")
-        pieces = [""] * size
-        for k, v in ranks.items():
-            pieces[v] = k.hex()
-        self.pieces = F.from_json(F.lit(json.dumps(pieces)), "array<string>")
-        self.bytes = F.from_json(F.lit(json.dumps([v.to_bytes(4, "little").hex() for v in range(size)])), "array<string>")
+    def encode(self, text: str) -> bytes:
+        first, *words = space_cut(text)
+        get, miss = self.kept.get, self.miss
+        return b"".join([self.ids(first), *[get(w) or miss(w) for w in words]])
 
-    def fold(self, word: Column) -> Column:
-        return _let(self.ranks, lambda ranks: fold(word, ranks))
+    def decode(self, ids: np.ndarray) -> bytes:
+        return b"".join(map(self.pieces.__getitem__, ids.tolist()))
 
 
-def split_words(text: Column) -> Column:
-    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(PATTERN), 0)
+#: Those of this Python worker.
+_WORDS: dict[tuple[str, int], Words] = {}
 
 
-def frequent_words(words: DataFrame, most: int) -> DataFrame:
-    """At most ``most`` of the most frequent words: those at or above a count that so many reach."""
-    counts = stage(words.select(F.explode("words").alias("word")).where(F.length("word") <= MAX_WORD_CHARS)
-                   .groupBy("word").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "word-counts")
-    level = F.floor(F.log(F.col("n").cast("double")) * 8)
-    least, room = None, most
-    for r in sorted(counts.groupBy(level.alias("level")).agg(F.count(F.lit(1)).alias("words")).collect(), key=lambda r: -r.level):
-        if r.words > room:
-            break
-        least, room = r.level, room - r.words
-    return counts.where(level >= F.lit(least)) if least is not None else counts.limit(0)
+def _encoded(path: str, most: int):
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        if (path, most) not in _WORDS:
+            _WORDS[path, most] = Words(path, most)
+        words = _WORDS[path, most]
+        for batch in batches:
+            for at in range(0, len(batch), TEXTS):
+                wire = [words.encode(t or "") for t in batch.iloc[at:at + TEXTS]]
+                ids = [np.frombuffer(w, dtype="<i4") for w in wire]
+                yield pd.DataFrame({"ids": ids, "ids_bytes": wire, "decoded": [words.decode(i) for i in ids]})
+    return run
 
 
 def encode_decode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None,
                   max_words: int = MAX_WORDS) -> DataFrame:
-    """doc_id, ids (array<int>), decoded (binary): one row per row of ``df``."""
-    spark = df.sparkSession
-    vocabulary = Vocabulary(spark, path or public_tokenizers.path("byte_bpe_50k.tiktoken"))
-    texts = df.select(F.col(id_col).alias("doc_id"), split_words(F.col(text_col)).alias("words"))
-    known = frequent_words(texts, max_words).select("word", vocabulary.fold(F.col("word")).alias("ids"))
-    table = _hashed(known.select(_bucket(F.col("word")), "word", "ids").collect(), "array<int>")
-    ids = _let(table, lambda once: _let(vocabulary.ranks, lambda ranks: F.flatten(
-        F.transform("words", lambda w: F.coalesce(_find(once, w), fold(w, ranks))))))
-    encoded = texts.select("doc_id", ids.alias("ids"))
-    decoded = F.unhex(F.array_join(_let(vocabulary.pieces, lambda t: F.transform("ids", lambda i: F.get(t, i))), ""))
-    wire = F.unhex(F.array_join(_let(vocabulary.bytes, lambda t: F.transform("ids", lambda i: F.get(t, i))), ""))
-    return encoded.select("doc_id", "ids", wire.alias("ids_bytes"), decoded.alias("decoded"))
+    """doc_id, ids (array<int>), ids_bytes and decoded (binary): one row per row of ``df``."""
+    encoded = F.pandas_udf(_encoded(path or public_tokenizers.path("byte_bpe_50k.tiktoken"), max_words), ENCODED)
+    return df.select(F.col(id_col).alias("doc_id"), encoded(F.col(text_col)).alias("encoded")).select("doc_id", "encoded.*")
 
 
 def op5_byte_bpe(spark, sf_dir):

@@ -35,6 +35,11 @@ def read_added(path: str) -> dict[str, int]:
         return {t["content"]: t["id"] for t in json.load(f).get("added_tokens", [])}
 
 
+def space_cut(text: str) -> list[str]:
+    """``text`` cut at single spaces between two characters that are not white space, where the pattern begins a new match."""
+    return _INNER_SPACE.split(text) if _DOUBLE_SPACE.search(text) else text.split(" ")
+
+
 class WordEncoder:
     """Text to ids as little-endian unsigned 16-bit integers.
 
@@ -63,7 +68,7 @@ class WordEncoder:
         return ids
 
     def encode(self, text: str) -> bytes:
-        words = _INNER_SPACE.split(text) if _DOUBLE_SPACE.search(text) else text.split(" ")
+        words = space_cut(text)
         get, miss = self._cache.get, self._miss
         out = [self._ids(words[0])] if words[0] else []
         out += [get(w) or miss(w) for w in words[1:]]

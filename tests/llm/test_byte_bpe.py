@@ -55,3 +55,13 @@ def test_query(spark, small_docs, reference):
         assert r.n_tokens == len(ids)
         assert r.ids_sha256 == hashlib.sha256(np.asarray(ids, "<u4").tobytes()).hexdigest()
         assert r.decoded_sha256 == hashlib.sha256(d.text.encode()).hexdigest()
+
+
+def test_a_match_without_a_break_does_not_cost_its_square(docs_of, reference):
+    """A block of 200,000 letters; the fold over arrays needed as many steps, each over all pieces."""
+    import time
+
+    text = "".join(random.Random(3).choice("abcdefghijklmnopqrstuvwxyz") for _ in range(200_000))
+    began = time.monotonic()
+    check(reference, docs_of([(1, text)]), [(1, text)])
+    assert time.monotonic() - began < 60
