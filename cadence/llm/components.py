@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cadence.llm.common import stage
+from cadence.llm.common import stage, unstage
 
 
 #: Links that one task writes; fewer tasks than shuffle partitions do for the few links of most rounds.
@@ -20,14 +20,15 @@ LINKS_A_TASK = 1_000_000
 
 
 def _stars(both: DataFrame, larger: bool, tasks: int) -> DataFrame:
-    """Links (u, v) -> links to the smallest of u and its neighbours; ``both`` has u with the neighbours that count."""
+    """Links (u, v) -> staged links to the smallest of u and its neighbours; ``both`` has u with the neighbours that count."""
     least = stage(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("c"), F.least("m", "c").alias("m")).coalesce(tasks), "least")
     hung = both.join(least, F.col("u") == F.col("c"))
-    if larger:
-        hung = hung.where("v > u")
-        return hung.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-    own = least.select(F.col("c").alias("u"), F.col("m").alias("v"))
-    return hung.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(own).where("u <> v").distinct()
+    hung = (hung.where("v > u") if larger else hung).select(F.col("v").alias("u"), F.col("m").alias("v"))
+    if not larger:
+        hung = hung.unionByName(least.select(F.col("c").alias("u"), F.col("m").alias("v")))
+    out = stage(hung.where("u <> v").distinct().coalesce(tasks), "large-star" if larger else "small-star")
+    unstage(least)
+    return out
 
 
 def _flat(down: DataFrame) -> bool:
@@ -49,7 +50,11 @@ def components(links: DataFrame) -> DataFrame:
 
     while not _flat(down):
         both = down.unionByName(down.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = stage(_stars(both, True, tasks).coalesce(tasks), "large-star")
-        down = stage(_stars(large, False, tasks).coalesce(tasks), "small-star")
+        large = _stars(both, True, tasks)
+        unstage(down)
+        down = _stars(large, False, tasks)
+        unstage(large)
     nodes = down.select(F.col("u").alias("node"), F.col("v").alias("root"))
-    return nodes.unionByName(nodes.select(F.col("root").alias("node"), "root").distinct())
+    out = nodes.unionByName(nodes.select(F.col("root").alias("node"), "root").distinct())
+    out._staged_path = down._staged_path
+    return out

@@ -41,7 +41,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cadence.llm.common import documents, stage
+from cadence.llm.common import documents, stage, unstage
 from cadence.llm.components import components
 from cadence.llm.shingles import Links, PrefixTree, mix, rank_sets, set_name, shingle_set
 
@@ -187,9 +187,14 @@ def _refine_large(docs: DataFrame, members: DataFrame, size: int, num: int, den:
                    .where("first <> other").select(F.col("comp").alias("c"), F.col("token").alias("t"), "first"), "prefix-shingles")
     roots = components(prefix.join(firsts, (F.col("comp") == F.col("c")) & (F.col("token") == F.col("t")))
                        .where("node <> first").select("node", "first").distinct())
-    roots = roots.select(F.col("node").alias("member"), "root")
-    apart = big.join(roots, F.col("node") == F.col("member")).select("node", F.col("placed_id").alias("doc_id"), "n", F.col("root").alias("comp"))
-    return stage(small.select("node", "doc_id", "n", "comp").unionByName(apart), "refined-members")
+    for table in (sets, shared, prefix, firsts):
+        unstage(table)
+    member = roots.select(F.col("node").alias("member"), "root")
+    apart = big.join(member, F.col("node") == F.col("member")).select("node", F.col("placed_id").alias("doc_id"), "n", F.col("root").alias("comp"))
+    refined = stage(small.select("node", "doc_id", "n", "comp").unionByName(apart), "refined-members")
+    for table in (large, big, roots):
+        unstage(table)
+    return refined
 
 
 def _blocks(members: DataFrame, num: int, den: int, block: int) -> DataFrame:
@@ -237,14 +242,23 @@ def join_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
                    .where("first <> other").select(F.col("part").alias("shared_part"), "first"), "shared-parts")
     rough = components(parts.join(shared, F.col("part") == F.col("shared_part")).where("node <> first")
                        .select("node", "first").distinct())
+    unstage(shared)
     nodes = named.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"))
     members = stage(nodes.join(rough.select("node", F.col("root").alias("comp")), "node"), "members")
-    placed = _blocks(_refine_large(docs, members, shingle, num, den, block), num, den, block)
+    unstage(rough)
+    refined = _refine_large(docs, members, shingle, num, den, block)
+    unstage(members)
+    placed = _blocks(refined, num, den, block)
     texts = placed.withColumnRenamed("doc_id", "placed_id").join(docs, F.col("placed_id") == F.col("doc_id"))
     links = texts.groupBy("comp", "c1", "b1", "c2", "b2").applyInPandas(_join_block(shingle, num, den), "a long, b long")
-    roots = components(stage(links, "set-links"))
+    links = stage(links, "set-links")
+    unstage(refined)
+    roots = components(links)
+    unstage(links)
     grouped = stage(named.join(roots.withColumnRenamed("node", "linked"), F.col("node") == F.col("linked"), "left")
                     .select("doc_id", "n", F.coalesce("root", "node").alias("root")), "grouped")
+    unstage(named)
+    unstage(roots)
     least = stage(grouped.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("component_id"))
                   .withColumnRenamed("root", "r"), "least-ids")
     return grouped.join(least, F.col("root") == F.col("r"), "left").select(
