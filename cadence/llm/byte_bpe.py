@@ -2,7 +2,7 @@
 
 A match of the pattern starts as its bytes; the leftmost pair of neighbours of
 the lowest rank becomes one piece, and with it the two pairs around it change,
-until no pair has a rank. In a match of over SHORT bytes, such as a block of
+until no pair has a rank. Short matches look ranks up by the ids of two pieces. In a match of over SHORT bytes, such as a block of
 base64, pairs wait in a heap, so it costs n log n steps.
 
 Words between single spaces begin and end with a match, so each is encoded once
@@ -20,6 +20,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
+from struct import pack
 
 import numpy as np
 import pandas as pd
@@ -37,6 +38,8 @@ MAX_WORDS = 200_000
 MAX_WORD_CHARS = 64
 #: Bytes of a match up to which the lowest pair is sought in a list.
 SHORT = 48
+#: Bits of an id in a pair of two.
+BITS = 20
 #: Texts that are handed on at once.
 TEXTS = 256
 #: The white space of Unicode, which the classes of Python's patterns exceed by some control characters.
@@ -45,24 +48,37 @@ PATTERN = public_tokenizers.PATTERN.replace(r"\s", r"\p{White_Space}").replace(r
 ENCODED = "ids array<int>, ids_bytes binary, decoded binary"
 
 
-def fold(word: bytes, ranks: dict[bytes, int]) -> list[int]:
+class Pairs(dict):
+    """Rank of two pieces, by the id of the first shifted by BITS plus that of the second, where they make a piece."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        super().__init__()
+        self.of_byte = [ranks.get(bytes([b])) for b in range(256)]
+        for piece, rank in ranks.items():
+            for i in range(1, len(piece)):
+                first, second = ranks.get(piece[:i]), ranks.get(piece[i:])
+                if first is not None and second is not None:
+                    self[first << BITS | second] = rank
+
+
+def fold(word: bytes, ranks: dict[bytes, int], pairs: Pairs | None = None) -> list[int]:
     """Ids of one match of the pattern by ranked merges."""
     if word in ranks:  # a word that is a piece needs no merge
         return [ranks[word]]
     n = len(word)
-    if n <= SHORT:
-        return _fold_short(word, ranks)
+    if n <= SHORT and pairs is not None:
+        return _fold_short(word, pairs)
     end, begin = list(range(1, n + 1)), list(range(-1, n))  # end of the piece from i; start of the piece before i (-1: none)
-    pairs = [(ranks[word[i:i + 2]], i, i + 2) for i in range(n - 1) if word[i:i + 2] in ranks]
-    heapify(pairs)
+    heap = [(ranks[word[i:i + 2]], i, i + 2) for i in range(n - 1) if word[i:i + 2] in ranks]
+    heapify(heap)
     alive = [True] * n
 
     def push(i: int) -> None:
         if end[i] < n and (rank := ranks.get(word[i:end[end[i]]])) is not None:
-            heappush(pairs, (rank, i, end[end[i]]))
+            heappush(heap, (rank, i, end[end[i]]))
 
-    while pairs:
-        _, i, to = heappop(pairs)
+    while heap:
+        _, i, to = heappop(heap)
         if not alive[i] or end[i] >= n or end[end[i]] != to:  # its pieces have changed
             continue
         alive[end[i]] = False
@@ -79,21 +95,22 @@ def fold(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return out
 
 
-def _fold_short(word: bytes, ranks: dict[bytes, int]) -> list[int]:
-    get, none = ranks.get, 1 << 30
-    cuts = list(range(len(word) + 1))
-    low = [get(word[i:i + 2], none) for i in range(len(word) - 1)]
+def _fold_short(word: bytes, pairs: Pairs) -> list[int]:
+    get, none = pairs.get, 1 << 2 * BITS
+    ids = [pairs.of_byte[b] for b in word]
+    low = [get(a << BITS | b, none) for a, b in zip(ids, ids[1:])]
     while low:
         least = min(low)
         if least == none:
             break
         k = low.index(least)
-        del cuts[k + 1], low[k]
+        ids[k] = least  # the id of a piece is its rank
+        del ids[k + 1], low[k]
         if k < len(low):
-            low[k] = get(word[cuts[k]:cuts[k + 2]], none)
+            low[k] = get(least << BITS | ids[k + 1], none)
         if k:
-            low[k - 1] = get(word[cuts[k - 1]:cuts[k + 1]], none)
-    return [ranks[word[a:b]] for a, b in zip(cuts, cuts[1:])]
+            low[k - 1] = get(ids[k - 1] << BITS | least, none)
+    return ids
 
 
 class Words:
@@ -101,7 +118,9 @@ class Words:
 
     def __init__(self, path: str, most: int):
         self.ranks, self.most = read_ranks(path), most
-        self.pieces = {v: k for k, v in self.ranks.items()}
+        if max(self.ranks.values()) >= 1 << BITS:
+            raise ValueError(f"ids do not fit {BITS} bits")
+        self.pairs, self.pieces = Pairs(self.ranks), {v: k for k, v in self.ranks.items()}
         self.kept: dict[str, bytes] = {}  # of words, with the space before them
         self.folded: dict[str, bytes] = {}  # of matches
         self.matches = regex.compile(PATTERN)
@@ -114,11 +133,14 @@ class Words:
         return ids
 
     def match(self, match: str) -> bytes:
-        return self.keep(self.folded, match, np.array(fold(match.encode(), self.ranks), dtype="<u4").tobytes())
+        ids = fold(match.encode(), self.ranks, self.pairs)
+        return self.keep(self.folded, match, pack(f"<{len(ids)}I", *ids))
 
     def ids(self, text: str) -> bytes:
-        get, match = self.folded.get, self.match
-        return b"".join([get(m) or match(m) for m in self.matches.findall(text)])
+        get, match, found = self.folded.get, self.match, self.matches.findall(text)
+        if len(found) == 1:
+            return get(found[0]) or match(found[0])
+        return b"".join([get(m) or match(m) for m in found])
 
     def miss(self, word: str) -> bytes:
         return self.keep(self.kept, word, self.ids(" " + word))

@@ -65,3 +65,12 @@ def test_a_match_without_a_break_does_not_cost_its_square(docs_of, reference):
     began = time.monotonic()
     check(reference, docs_of([(1, text)]), [(1, text)])
     assert time.monotonic() - began < 60
+
+
+def test_matches_fold_by_pairs_of_ids_as_by_bytes():
+    """A pair of ids stands for the bytes of both, whatever pieces they come from; the heap works on bytes."""
+    ranks = read_ranks(PATH)
+    pairs, rng = B.Pairs(ranks), random.Random(3)
+    for _ in range(2000):
+        word = "".join(rng.choice("etaoinshrdlué日0") for _ in range(rng.randint(1, 16))).encode()
+        assert B.fold(word, ranks, pairs) == B.fold(word, ranks)
