@@ -10,6 +10,11 @@ import xxhash
 _K = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], dtype=np.uint64)
 #: Words whose hash a worker keeps.
 _KEEP = 200_000
+#: Words of more bytes are hashed one by one.
+_LONG = 64
+_SPACE = np.zeros(256, dtype=bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
+_FIRST_BYTES = np.array([(1 << 8 * k) - 1 for k in range(9)], dtype=np.uint64)
 
 
 class _Hashes(dict):
@@ -55,6 +60,42 @@ def lower_ascii_words(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").lower().split() if text else []
 
 
+def word_spans(texts: list[str | bytes | None]) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray]:
+    """All texts in lower case (A-Z) in one string, begin and end of its words, and how many each text has."""
+    parts = [t if isinstance(t, bytes) else t.encode("utf-8", "surrogatepass") if t else b"" for t in texts]
+    data = b" " + b" ".join(parts).lower() + b" " * 9  # nine, so that eight bytes can be read from any letter on
+    space = _SPACE[np.frombuffer(data, dtype=np.uint8)]
+    edges = np.flatnonzero(space[1:] != space[:-1]) + 1
+    begins, ends = edges[::2], edges[1::2]
+    first = np.cumsum(np.array([1] + [len(p) + 1 for p in parts], dtype=np.int64))
+    return data, begins, ends, np.diff(np.searchsorted(begins, first))
+
+
+def text_hashes(texts: list[str | bytes | None]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of all texts, one text after the other, and how many words each has.
+
+    Words as in ``lower_ascii_words``; the hashes are others than those of ``word_hashes``.
+    """
+    data, begins, ends, counts = word_spans(texts)
+    return span_hashes(data, begins, ends), counts
+
+
+def span_hashes(data: bytes, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hashes of the words that ``word_spans`` gives, eight bytes at a time."""
+    eight = np.ndarray((len(data) - 7,), dtype="<u8", buffer=data, strides=(1,))
+    size = ends - begins
+    with np.errstate(over="ignore"):
+        h = mix((eight[begins] & _FIRST_BYTES[np.minimum(size, 8)]) + size.astype(np.uint64) * _K[0])
+        more, k = np.flatnonzero((size > 8) & (size <= _LONG)), 8
+        while len(more):
+            left = size[more] - k
+            h[more] = mix(h[more] * _K[1] + (eight[begins[more] + k] & _FIRST_BYTES[np.minimum(left, 8)]))
+            more, k = more[left > 8], k + 8
+    for i in np.flatnonzero(size > _LONG).tolist():
+        h[i] = xxhash.xxh3_64_intdigest(data[begins[i]:ends[i]])
+    return h
+
+
 def shingle_set(text: str | None, size: int) -> np.ndarray:
     """Sorted distinct shingle hashes of a whole text."""
     return np.unique(shingle_hashes(word_hashes(lower_ascii_words(text)), size))
